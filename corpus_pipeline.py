@@ -1,15 +1,52 @@
-"""The corpus pipeline; its stages follow as their operators come."""
+"""The corpus pipeline: language, exact and near duplicates, mixture, packing.
+
+Each stage takes what the one before kept, written as Parquet and read again. Text columns may hold nulls.
+"""
 
 from __future__ import annotations
 
-from lakescope.llm import exactdedup
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lakescope.llm import common, exactdedup, langid, mixing, packing, queries, simhash
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; texts without letters go."""
+    return langid.identified(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest doc_id."""
+    return exactdedup.exact_dedup(docs, keep="largest")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints' documents, the one with the smallest doc_id."""
+    return simhash.near_dedup(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate says."""
+    return mixing.mix(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in training sequences."""
+    return packing.packed(docs, queries.vocabulary())
+
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exactdedup.exact_dedup(docs, keep="largest"))]
+STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mixture), ("packing", sequences)]
+#: Hashed profiles, fingerprints and a packing plan are not for SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -30,6 +30,12 @@ BUCKET_BYTES = 8 << 20
 ROWS = "chunk long, bucket long, body binary"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines of the session share; one of this machine only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or prepare(spark).sparkContext.getCheckpointDir()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and set a checkpoint folder where the cluster names none."""
     sc = spark.sparkContext
@@ -125,37 +131,40 @@ def chunked(docs: DataFrame, work: Callable[[list[tuple]], tuple[object, dict[in
     return stored(docs.mapInArrow(run, ROWS))
 
 
-def answered(sent: DataFrame, work: Callable[[list[object]], list[object]]) -> DataFrame:
-    """Second step: each bucket's messages, together, to one answer per message; the blobs pass by."""
+def answered(sent: DataFrame, work: Callable[[list[object]], list[object]], summed: bool = False) -> DataFrame:
+    """Second step: each bucket's messages, together, to one answer per message.
+
+    summed: work returns (answers, totals of the bucket); the totals go into a row of their own, chunk -1.
+    """
     def run(group: pa.Table) -> pa.Table:
-        messages = [unpack(x) for x in group["body"].to_pylist()]
-        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "body": pa.array([pack(x) for x in work(messages)], pa.binary())})
+        answers = work([unpack(x) for x in group["body"].to_pylist()])
+        chunks, buckets = group["chunk"].to_pylist(), group["bucket"].to_pylist()
+        if summed:
+            answers = [*answers[0], answers[1]]
+            chunks, buckets = [*chunks, -1], [*buckets, buckets[0]]
+        return pa.Table.from_batches([table(ROWS, [chunks, buckets, [pack(x) for x in answers]])])
 
     return sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, ROWS)
 
 
-def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[int, object]], Iterable[tuple]], schema: str) -> DataFrame:
-    """Third step: a chunk's state and its answers by bucket, to rows of the given schema."""
+def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[int, object]], Iterable[tuple]], schema: str, numbered: bool = False) -> DataFrame:
+    """Third step: a chunk's state and its answers by bucket, to rows of the given schema.
+
+    numbered: the state is (number of the chunk, state), for results that name their chunk.
+    """
     def run(group: pa.Table) -> pa.Table:
         state, answers = None, {}
+        number = group["chunk"][0].as_py()
         for bucket, body in zip(group["bucket"].to_pylist(), group["body"].to_pylist(), strict=True):
             if bucket < 0:
                 state = unpack(body)
             else:
                 answers[bucket] = unpack(body)
-        return pa.Table.from_batches(list(emit(work(state, answers), schema)))
+        return pa.Table.from_batches(list(emit(work((number, state) if numbered else state, answers), schema)))
 
     return sent.filter("bucket < 0").unionByName(answers).groupBy("chunk").applyInArrow(run, schema)
 
 
-def again(state_rows: Iterable[tuple[object, dict[int, object]]], number: int) -> Iterator[tuple]:
-    """Rows for another exchange from within a chunk's task."""
-    for state, messages in state_rows:
-        yield number, -1, pack(state)
-        for bucket, message in messages.items():
-            yield number, bucket, pack(message)
-
-
 def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts unsigned keys by bucket (a mix of the key modulo n), the bucket of each run and the runs' ends."""
     mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, mixing, simhash
+from . import exactdedup, html, katz, langid, mixing, packing, simhash, substring, tokencount, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,45 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of an installed public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(_docs(spark, sf_dir), langid.held_out(7, 2))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, lambda vec_id: vec_id % 50 == 0)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokencount.token_counts(_docs(spark, sf_dir), vocabulary())
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(_docs(spark, sf_dir), vocabulary())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.without_repeats(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_docs(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_docs(spark, sf_dir), keep="largest")
 
@@ -47,9 +86,23 @@ SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
 """
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op3_katz": op3_katz,
+    "op4_topk": op4_topk,
+    "op5_token_counts": op5_token_counts,
+    "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_html": op8_html,
+    "op9_substring": op9_substring,
+    "op10_language": op10_language,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_topk": OP4_SQL, "op7_exact_dedup": OP7_SQL}
