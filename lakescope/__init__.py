@@ -1 +1 @@
-"""See the package README."""
+"""Health, cost, privacy and migration audits of Apache Iceberg tables as Spark dataflows."""

@@ -1 +1 @@
-"""See the package README."""
+"""Scalar functions as Column expressions."""

@@ -1 +1 @@
-"""See the package README."""
+"""Whole audits put together from sources and operators, and their outputs."""

@@ -1 +1 @@
-"""See the package README."""
+"""Readers of catalogs, table metadata, manifests and object listings."""

@@ -1 +1 @@
-"""See the package README."""
+"""Continuous audits."""
