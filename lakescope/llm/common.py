@@ -9,6 +9,7 @@ is in a message once per chunk, so no bucket grows with the frequency of a key.
 
 from __future__ import annotations
 
+import io
 import os
 import pickle
 import tempfile
@@ -65,8 +66,24 @@ def buckets_for(docs: DataFrame, text: str = "text", per: int = BUCKET_BYTES) ->
     return int(total // per) + 4
 
 
+class _Pickler(pickle.Pickler):
+    """Arrays byte by byte: all lowest bytes, then all next ones, which compress far better than whole numbers do."""
+
+    def reducer_override(self, obj):
+        if type(obj) is np.ndarray and obj.dtype.kind in "iuf" and obj.dtype.itemsize > 1 and obj.size > 16:
+            return _joined, (obj.dtype.str, obj.shape, np.ascontiguousarray(obj).reshape(-1, 1).view(np.uint8).T.tobytes())
+        return NotImplemented
+
+
+def _joined(kind: str, shape: tuple, data: bytes) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(shape)
+
+
 def pack(value: object, level: int = 3) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(value, protocol=5))
+    out = io.BytesIO()
+    _Pickler(out, protocol=5).dump(value)
+    return zstandard.ZstdCompressor(level=level).compress(out.getbuffer())
 
 
 def unpack(body: bytes) -> object:

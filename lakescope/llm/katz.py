@@ -99,12 +99,12 @@ def scored(docs: DataFrame, held: Column, text_col: str = "text", keys: tuple[st
         """Each word's global number and count; the bucket's share of the totals comes last."""
         names, places = distinct([m[0] for m in messages])
         bucket = xxhash.xxh32_intdigest(names[0]) % n
-        rank = np.empty(len(names), np.int64)
-        rank[np.argsort(np.array(names, object), kind="stable")] = np.arange(len(names))
-        number = rank * n + bucket + 1
         counts = np.zeros(len(names), np.int64)
         for m, p in zip(messages, places, strict=True):
             np.add.at(counts, p, m[1].astype(np.int64))
+        rank = np.empty(len(names), np.int64)  # frequent words get small numbers, which take less room
+        rank[sorted(range(len(names)), key=lambda k: (-counts[k], names[k]))] = np.arange(len(names))
+        number = rank * n + bucket + 1
         of = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)
         totals = [(0, 0, counts.sum(), (counts > 0).sum(), 0, 0, 0, 0), (1, 0, *of[1 : K + 2])]
         return [(_slim(number[p]), _slim(counts[p])) for p in places], totals
@@ -149,10 +149,11 @@ def scored(docs: DataFrame, held: Column, text_col: str = "text", keys: tuple[st
         c = np.bincount(inverse[train], minlength=len(a))
         for x, at in asked(number, count, a, b):
             first, runs = np.unique(number[a[at]], return_counts=True)
-            yield chunk, x, pack((first, runs.astype(np.int32), _slim(number[b[at]]), _slim(count[b[at]]), _slim(c[at]), count[a[at[np.append(0, np.cumsum(runs)[:-1])]]] > hot))
+            yield chunk, x, pack((_slim(np.diff(first, prepend=0)), _slim(runs), _slim(number[b[at]]), _slim(count[b[at]]), _slim(c[at]), count[a[at[np.append(0, np.cumsum(runs)[:-1])]]] > hot))
 
     def pairs(messages):
         """Each pair's count and, by first word, how many seconds were seen r times and their word-level mass."""
+        messages = [(np.cumsum(m[0].astype(np.int64)), *m[1:]) for m in messages]
         firsts = np.concatenate([np.repeat(m[0], m[1]) for m in messages])
         seconds = np.concatenate([m[2] for m in messages]).astype(np.int64)
         names, i = np.unique(firsts, return_inverse=True)
