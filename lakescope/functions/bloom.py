@@ -28,7 +28,7 @@ class Bloom:
 
     def _places(self, item: str):
         data = item.encode()
-        a, b = _fnv(data), _fnv(data + SALT.encode()) or 1
+        a, b = _fnv(data), _fnv(bytes.fromhex(SALT) + data) or 1
         return ((a + i * b) % 2**64 % self.bits for i in range(self.hashes))
 
     def add(self, item: str) -> None:
