@@ -75,10 +75,10 @@ class Tree(HTMLParser):
         if tag == "a":
             self.end({"a"}, SCOPE | BLOCKS)
         node = Node(tag, attrs)
+        if len(self.open) >= DEPTH:
+            self.open.pop()
         self.open[-1].children.append(node)
         if tag not in VOID:
-            if len(self.open) >= DEPTH:
-                self.open.pop()
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):

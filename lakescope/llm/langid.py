@@ -164,10 +164,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identified(docs: DataFrame, text_col: str = "text", least: float = 0.0, **columns) -> DataFrame:
-    """The input's rows, all columns, whose text has a language: lang_pred is not und and score exceeds least."""
+    """The input's rows, all columns, whose text has a language: lang_pred is not und and score is least or more."""
     prepare(docs.sparkSession)
     marked = docs.withColumn("_held", held_out(id_col=columns.get("id_col", "doc_id")))
     prototypes = fit(marked.filter(~F.col("_held")), text_col=text_col, **columns)
     names = docs.columns
     out = predicted(docs, prototypes, F.col(text_col), *(F.col(f"`{c}`") for c in names))
-    return out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") > least)).select(*names)
+    return out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*names)

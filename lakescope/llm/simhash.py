@@ -203,7 +203,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The input's rows, all columns, with one document of each group of near copies: the smallest doc_id.
 
-    Rows without a doc_id stay. Of rows that share the doc_id that stays, all stay: they are one document.
+    Rows without a doc_id stay. Rows that share a doc_id are one document, which goes if all of them would.
     """
-    groups = near_groups(docs, id_col, text_col, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(groups, id_col, "left_anti")
+    groups = near_groups(docs, id_col, text_col, radius)
+    gone = groups.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone")
+    return docs.join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)

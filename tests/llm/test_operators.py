@@ -1,0 +1,310 @@
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lakescope.llm import exactdedup, html, katz, langid, mixing, packing, queries, simhash, substring, tokencount, topk
+
+DOC = "doc_id long, text string, lang string, source string"
+#: Columns whose names the operators use inside.
+CLASH = ("uid", "n", "node", "fp", "row", "chunk", "bucket", "body", "_size", "count", "digest", "component", "source_size", "best")
+
+
+def prose(rng, n, vocabulary=60):
+    return " ".join(rng.choice(["Alpha", "beta", "gämma", "delta,", "ε"]) + str(rng.randrange(vocabulary)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Nulls, empty and long texts, exact and near copies, shared passages, periodic text, ties, repeated rows."""
+    rng = random.Random(5)
+    passage, base = prose(rng, 45), prose(rng, 120)
+    texts = [None, "", " \t\n", "one", "Two words", base, base, base.upper(), base.replace("Alpha1", "Alpha2", 1), "a b " * 60, passage, "x   y", "line\x0bfeed\x0cand\x1fmore", "<|endoftext|> a<|startoftext|>B <|ENDOFTEXT|>", "!!! 123 ...", prose(rng, 3000)]
+    texts += [prose(rng, rng.randrange(1, 80)) + " " + (passage if k % 2 else "") + " " + prose(rng, 10) for k in range(24)]
+    out = [(k, t, ("en", "de", None)[k % 3], ("s1", "s2", None, "é")[k % 4]) for k, t in enumerate(texts)]
+    rng.shuffle(out)
+    return [*out, (None, base, "en", "s1"), (7, base, "en", "s1"), (7, base, "en", "s1"), (-3, passage, "de", "s2"), (None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    frame = spark.createDataFrame(rows, DOC).repartition(3)
+    for c in CLASH:
+        frame = frame.withColumn(c, F.lit("clash"))
+    return frame.cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def same(got, want):
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+
+
+def test_exact_dedup(docs, rows, empty):
+    for keep, best in (("largest", max), ("smallest", min)):
+        groups = defaultdict(list)
+        for r in rows:
+            groups[r[1] or ""].append(r[0])
+        key = lambda i: -(10**9) if i is None else i
+        got = exactdedup.exact_groups(docs, keep=keep).collect()
+        want = [(r[0], best(groups[r[1] or ""], key=key), len(groups[r[1] or ""]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows]
+        same([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got], want)
+        assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(set(r["text_sha256"] for r in got))
+        assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+        out = exactdedup.exact_dedup(docs, keep=keep)
+        assert out.columns == docs.columns
+        same([(r["doc_id"], r["text"] or "") for r in out.collect()], [(best(v, key=key), t) for t, v in groups.items()])
+    assert exactdedup.exact_groups(empty).count() == 0 == exactdedup.exact_dedup(empty).count()
+
+
+def test_fingerprints(rows):
+    for r in rows:
+        assert simhash.fingerprint((r[1] or "").encode()) % 2**64 == brute.fingerprint(r[1])
+
+
+def test_near_groups(docs, rows, empty):
+    got = simhash.near_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0"), "component_id").collect()
+    same(got, brute.near_groups(rows))
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    stays = {g[0] for g in brute.near_groups(rows) if g[0] is None or g[0] == g[2]}
+    same([(r["doc_id"], r["text"]) for r in kept.collect()], [(r[0], r[1]) for r in rows if r[0] in stays])
+    assert simhash.near_groups(empty).count() == 0 == simhash.near_dedup(empty).count()
+
+
+def test_links_over_tiles(spark, monkeypatch):
+    """Chains of links within and across tiles, against all pairs."""
+    monkeypatch.setattr(simhash, "TILE", 50)
+    rng = random.Random(8)
+    prints = set()
+    while len(prints) < 300:
+        p = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 6)):
+            prints.add(p)
+            for _ in range(rng.randrange(1, 4)):
+                p ^= 1 << rng.randrange(64)
+    prints = [p - 2**64 if p >> 63 else p for p in prints]
+    from lakescope.llm.components import components
+
+    frame = spark.createDataFrame([(p, p) for p in prints], "node long, fp long")
+    got = {r["node"]: r["component"] for r in components(simhash.links(frame)).collect()}
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 3:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert all(got.get(p, p) == find(p) for p in prints) and len({find(p) for p in prints}) < len(prints)
+
+
+def test_mixing(docs, rows, empty, spark):
+    out = mixing.copies(docs, mixing.words()).select("doc_id", "source", "text", "_copies", "_target", "_source_size", F.col("_size")).collect()
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(brute.words(r[1]))
+    want = brute.targets(list(size.items()))
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["_target"] == pytest.approx(want[r["source"]]) and r["_source_size"] == size[r["source"]] and 0 <= r["_copies"] <= 2
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["_copies"] for r in out)
+    assert mixing.mix(empty).count() == 0
+    zero = spark.createDataFrame([(1, None, "en", "s"), (2, "", "en", None)], DOC)
+    assert mixing.mix(zero).count() == 0
+
+
+def test_mixing_levels(spark):
+    rng = random.Random(2)
+    for _ in range(6):
+        sizes = [(f"s{k}", rng.choice([0, 1, 10, 1000, 10**6])) for k in range(rng.randrange(1, 9))]
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+        assert got == pytest.approx(brute.targets(sizes))
+
+
+def test_mix_comes_near_targets(spark):
+    frame = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"), (F.col("id") % 97).alias("size"))
+    r = mixing.copies(frame, F.col("size")).groupBy("source").agg(F.sum(F.col("_copies") * F.col("size")).alias("got"), F.first("_target").alias("want")).collect()
+    assert all(abs(x["got"] / x["want"] - 1) < 0.05 for x in r)
+
+
+def test_katz(docs, rows, empty):
+    got = katz.scored(docs, langid.held_out(7, 2)).collect()
+    named = [("null" if r[0] is None else r[0], *r[1:]) for r in rows]
+    want, p2, uni, follow = brute.katz(named)
+    key = lambda r: (str(r[0]), r[2], r[3], round(r[6], 6))
+    got = sorted((("null" if r[0] is None else r[0], *r[1:]) for r in got), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
+    unknown = object()
+    for context in [None, *list(uni)[:20], b"never seen"]:
+        assert sum(p2(context, w) for w in [*uni, unknown]) == pytest.approx(1)
+    assert katz.scored(empty, langid.held_out(7, 2)).count() == 0
+    untrained = katz.scored(docs, F.lit(True)).collect()
+    assert all((r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0.0) and abs(r["score"]) < 1e-12 for r in untrained)
+
+
+def test_katz_frequent_contexts(docs, rows, monkeypatch):
+    """A first word that is split over partitions scores as before."""
+    plain = sorted(map(tuple, katz.scored(docs.filter("doc_id is not null"), langid.held_out(7, 2)).collect()))
+    monkeypatch.setattr(katz, "HOT", 3)
+    split = sorted(map(tuple, katz.scored(docs.filter("doc_id is not null"), langid.held_out(7, 2)).collect()))
+    assert [r[:5] for r in split] == [r[:5] for r in plain]
+    assert [r[6] for r in split] == pytest.approx([r[6] for r in plain])
+
+
+def vectors(rng):
+    rows = [(k, [rng.uniform(-2, 2) for _ in range(8)]) for k in range(300)]
+    rows += [(300 + k, rows[0][1]) for k in range(40)] + [(0, rows[3][1]), (400, None), (401, []), (402, [1.0, None] * 4), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (None, rows[0][1]), (405, [1.0] * 3), (450, [2.0] * 3), (500, [1e30] * 3)]
+    return rows
+
+
+def test_top_k(spark, monkeypatch):
+    rows = vectors(random.Random(4))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).withColumn("uid", F.lit("clash"))
+    plain = [r for r in rows if r[0] != 500]
+    for tile in (2048, 32):
+        monkeypatch.setattr(topk, "TILE", tile)
+        got = topk.top_k(frame.filter("vec_id is null or vec_id <> 500"), lambda c: c % 50 == 0, k=7)
+        same(got.collect(), brute.top_k(plain, 50, 7))
+    assert topk.top_k(frame.limit(0), lambda c: c % 50 == 0).count() == 0
+    big = topk.top_k(frame.filter("vec_id in (405, 450, 500)"), lambda c: c % 50 == 0).collect()
+    assert sorted(big)[-1]["score"] <= 2**63 - 1 and len(big) == 4
+
+
+def test_token_counts(docs, rows, empty):
+    path = queries.vocabulary()
+    t = tokencount.load(path)
+    got = tokencount.token_counts(docs, path).collect()
+    same(got, [(r[0], len((r[1] or "").encode()), len(t.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows])
+    assert tokencount.token_counts(empty, path).count() == 0
+    with pytest.raises(ValueError):
+        tokencount.token_counts(empty, queries.vocabulary("byte_bpe_50k.json"))
+
+
+def test_packing(docs, rows, empty):
+    path, capacity = queries.vocabulary(), 256
+    t = tokencount.load(path)
+    ids = sorted([*t.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows)
+    pieces = packing.packed(docs, path, capacity).collect()
+    places, texts = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        assert 0 < p["length"] <= capacity and len(p["ids"]) == 4 * p["length"] and p["start"] == p["piece"] * capacity
+        places[p["sequence_id"]].append((p["offset"], p["length"]))
+        texts[p["doc_id"]].append((p["piece"], np.frombuffer(p["ids"], "<u4").tolist()))
+    for spots in places.values():
+        spots.sort()
+        assert [o for o, _ in spots] == [sum(n for _, n in spots[:k]) for k in range(len(spots))] and sum(n for _, n in spots) <= capacity
+    once = Counter(r[0] for r in rows)
+    whole = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
+    for doc, parts in texts.items():
+        if once[doc] == 1:
+            assert [i for _, p in sorted(parts) for i in p] == whole[doc]
+    assert sum(p["length"] for p in pieces) == sum(map(len, ids))
+    assert packing.packed(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plans(seed):
+    rng = random.Random(seed)
+    lengths = [min(4096, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(20_000)] if seed else [4096] * 5 + [2049] * 7
+    plan = packing.planned(Counter(lengths))
+    load, ranks = Counter(), Counter()
+    for length, first, count, sequence, offset in plan.places:
+        assert first == ranks[length]
+        ranks[length] += count
+        for k in range(sequence, sequence + count):
+            assert load[k] == offset
+            load[k] += length
+    assert ranks == Counter(lengths) and max(load.values()) <= 4096
+    if seed:
+        assert len(load) <= 1.01 * sum(lengths) / 4096 + 1
+    else:
+        assert len(load) == 12
+    assert packing.planned({}).sequences == 0
+
+
+def test_html_cases():
+    cases = {
+        "": "", "plain": "plain", "<p>a<p>b": "a\n\nb", "<div>a</div><div>b": "a\nb", "a<br>b": "a\nb", "<b>x</b> y &amp; &lt;z&gt; &eacute;": "x y & <z> é",
+        "<head><title>t</title><style>p{}</style></head><body>x<script>if(a<b){}</script>y<!-- c -->": "xy", "<p hidden>a</p><p style='display: none'>b</p><p>c": "c",
+        "<ul><li>a<li>b<ul><li>c</ul></ul>": "- a\n- b\n\n  - c", "<ol start=3><li>a<li value=7>b<li>c</ol>": "3. a\n7. b\n8. c", "<ol reversed><li>a<li>b</ol>": "2. a\n1. b",
+        "<table><tr><th>n<th>long name<tr><td>1<td>x<td>y</table>": "n  long name\n1  x          y", "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+        "<pre>\n a\n  b</pre>": " a\n  b", "<details><summary>s</summary>hidden</details>": "s", "<details open><summary>s</summary>shown</details>": "s\nshown", "<select><option>a<option selected>b</select>": "b",
+        "a  \n b": "a b", "<textarea>q</textarea><noscript>n</noscript>": "q", "<blockquote>q</blockquote>": "  q", "</p></div>x": "x", "<table><td>a<td>b": "a  b", "x<svg><text>s</text></svg>y": "xy",
+    }
+    for page, text in cases.items():
+        assert html.rendered(page) == text, page
+    assert html.rendered(None) == ""
+
+
+def test_html_long_and_deep():
+    assert html.rendered("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
+    assert html.rendered("<p>" + "word " * 100_000).count("word") == 100_000
+    assert html.rendered("<ul>" + "<li>x<ul>" * 300).count("x") == 300
+
+
+def test_html_frame(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (None, None, None), (1, "u", "<p>a")], "page_id long, url string, html string").withColumn("text", F.lit("old"))
+    same(html.extracted(pages).collect(), [(1, "u", "a"), (None, None, ""), (1, "u", "a")])
+    assert html.extracted(pages.limit(0)).count() == 0
+
+
+def test_substring(docs, rows, empty):
+    ordered = sorted((r for r in rows), key=lambda r: (r[0] is None, r[0] or 0))
+    got = substring.without_repeats(docs).collect()
+    want = brute.without_repeats(ordered)
+    once = Counter(r[0] for r in rows)
+    same([r[:] for r in got if once[r["doc_id"]] == 1], [(r[0], *w) for r, w in zip(ordered, want) if once[r[0]] == 1])
+    assert sum(r["n_removed"] for r in got) == sum(w[1] for w in want) > 0
+    assert substring.without_repeats(empty).count() == 0
+
+
+def test_automaton_against_sets():
+    rng = random.Random(1)
+    for _ in range(60):
+        a, seen = substring.Automaton(), set()
+        for _ in range(5):
+            words = [rng.randrange(3) for _ in range(rng.randrange(0, 30))]
+            want = []
+            for i in range(max(0, len(words) - 3)):
+                want.append(tuple(words[i : i + 4]) in seen)
+                seen.add(tuple(words[i : i + 4]))
+            assert a.stream(words, 4).tolist() == want
+
+
+def test_language(spark, docs, rows, empty):
+    rng = random.Random(6)
+    pieces = {"en": ["the", "ing", "th", "er", "and"], "fr": ["eau", "que", "ou", "é", "le"], "xx": ["zk", "vrz", "kh", "y"]}
+    data = [(k, " ".join("".join(rng.choices(pieces[g], k=3)) for _ in range(30)), g, "s") for k in range(240) for g in [rng.choice(list(pieces))]]
+    frame = spark.createDataFrame([*data, (900, None, "en", "s"), (901, "12 !!", "fr", "s"), (None, "the and", None, None)], DOC)
+    got = {r["doc_id"]: r for r in langid.identify(frame).collect()}
+    assert all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) and 0 <= got[k]["score"] <= 1 for k, *_ in data)
+    assert sum(got[k]["lang_pred"] == g for k, _, g, _ in data) >= 0.98 * len(data)
+    assert [got[k][2:] for k in (900, 901)] == [("und", 0.0)] * 2
+    kept = langid.identified(docs)
+    assert kept.columns == docs.columns
+    same([(r["doc_id"],) for r in kept.collect()], [(r[0],) for r in rows if any(c.isalpha() for c in r[1] or "")])
+    assert langid.identify(empty).count() == 0 and {r["lang_pred"] for r in langid.identify(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_vectors_by_definition():
+    p = langid.Profiles(dim=64)
+    v = p.vector("Ab c")
+    want = np.zeros(64)
+    for gram in (" ab", "ab ", "b c", " c "):
+        want += np.prod([np.roll(p.letter(ord(c)).astype(int), k) for k, c in enumerate(gram)], axis=0)
+    assert (v == want).all() and p.vector("12") is None
