@@ -130,13 +130,23 @@ def test_bench(spark, root, tmp_path):
     assert d["score_change"] == "(no change)" and "Health Score:" in render.diff_text("default", d)
 
 
+@pytest.fixture(scope="module")
+def audited(spark, root):
+    """Audits of a namespace and of a table, made once."""
+    catalog = catalogs.LocalCatalog(root)
+    out = {name: audit.audit(spark, catalog, **{kind: name}) for kind, name in (("namespace", "db"), ("table", "db.healthy"))}
+    return {k: spark.createDataFrame(f.collect(), f.schema) for k, f in out.items()}
+
+
 @pytest.mark.parametrize(("args", "code", "text"), [
     (["audit", "--namespace", "db"], 2, "Table: db.sick"), (["audit", "--namespace", "db", "--fail-on", "never"], 0, "[CRITICAL]"), (["audit", "--table", "db.healthy", "--format", "json"], 0, '"score": 90'),
     (["audit", "--namespace", "db", "--format", "sarif"], 2, "lakescope/delete_amplification"), (["audit", "--namespace", "db", "--format", "prom"], 2, 'iceberg_table_health_score{catalog="localfs"'), (["audit", "--table", "db.none"], 5, ""), (["audit", "--catalog", "zzz"], 5, ""),
     (["audit", "--format", "zzz"], 4, ""), (["audit", "--namespace", "empty"], 0, "no tables"), (["orphans", "--table", "db.healthy", "--grace-period", "1d"], 0, "Found 1"), (["pii", "--table", "db.healthy"], 3, "[EMAIL]"), (["pii", "--table", "db.healthy", "--format", "atlas"], 3, "review_required"),
     (["migration", "--namespace", "db"], 2, "HDFS_DATA_PATH"), (["cost", "--table", "db.healthy", "--rate", "0.1"], 0, "$0.1000"), (["cost"], 4, ""), (["version"], 0, "lakescope"), (["audit", "--table", "db.healthy", "--atlas-output", "-"], 0, "HEALTH_OK"), (["audit", "--table", "db.healthy", "--min-health-score", "91"], 2, ""),
 ])
-def test_cli(spark, root, args, code, text):
+def test_cli(spark, root, audited, monkeypatch, args, code, text):
+    if args[0] == "audit" and args[1] != "--catalog" and args[2] in audited:
+        monkeypatch.setattr(audit, "audit", lambda *a, **k: audited[args[2]])
     out = io.StringIO()
     args = args if args[0] == "version" else [*args, "--catalog-root", root]
     assert cli.main(args, spark, out) == code
