@@ -147,7 +147,7 @@ class HiveCatalog(Catalog):
         return Entry(namespace, table, location_of(properties), properties)
 
     def tables(self, namespace: str) -> list[tuple[str, str]]:
-        return [(namespace, t.name) for t in self.spark.catalog.listTables(namespace or "default")]
+        return [(namespace, t.name) for t in self.spark.catalog.listTables(namespace or "default") if not t.isTemporary]
 
 
 class RestCatalog(Catalog):
