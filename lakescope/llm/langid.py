@@ -16,12 +16,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, rows_of, table, text_of
+from .common import prepare, table
 
 DIM, GRAM, SEED = 1024, 3, 7
 #: A bound on the labelled texts per language that the prototypes are fitted on, chosen by a hash of doc_id.
 FIT_PER_LANG = 20_000
 UNDECIDED = "und"
+#: N-grams and texts of one matrix product.
+BLOCK, TEXTS = 8192, 64
+HAS_LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
@@ -70,18 +73,31 @@ class Profiles:
             self.rows[i] = self._of(k)
         return np.fromiter((self.grams[k] for k in keys.tolist()), np.int64, len(keys))
 
-    def vector(self, text: str | None) -> np.ndarray | None:
-        """The text's sum of n-gram vectors; none for a text without letters."""
-        codes = self.codes(text or "")
-        if not len(codes):
-            return None
-        keys, counts = np.unique(codes, return_counts=True)
-        out = np.zeros(self.dim, np.float32)
-        for i in range(0, len(keys), 4096):
-            places = self.places(keys[i : i + 4096])
-            out += counts[i : i + 4096].astype(np.float32) @ self.rows[places].astype(np.float32)
+    def vectors(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's sum of n-gram vectors; zeros for a text without letters. One matrix product per block of n-grams."""
+        codes = [self.codes(t or "") for t in texts]
+        keys, at = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]), return_inverse=True)
+        doc = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for i in range(0, len(keys), BLOCK):
+            here = (at >= i) & (at < i + BLOCK) if len(keys) > BLOCK else slice(None)
+            width = min(BLOCK, len(keys) - i)
+            counts = np.bincount(doc[here] * width + (at[here] - i), minlength=len(texts) * width).reshape(len(texts), width)
+            out += counts.astype(np.float32) @ self.rows_of(keys[i : i + BLOCK]).astype(np.float32)
         return out
 
+    def rows_of(self, keys: np.ndarray) -> np.ndarray:
+        places = self.places(keys)
+        return self.rows[places]
+
+    def unit_vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors at length one, and which texts have letters."""
+        out = np.empty((len(texts), self.dim), np.float32)
+        for i in range(0, len(texts), TEXTS):
+            out[i : i + TEXTS] = self.vectors(texts[i : i + TEXTS])
+        some = np.array([bool(t) and HAS_LETTER.search(t) is not None for t in texts], bool)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), some
+
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = FIT_PER_LANG) -> dict[str, np.ndarray]:
     """Language prototypes (unit vectors) from rows with a language; null languages and texts are left out.
@@ -102,10 +118,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(), {}
-        for lang, text in rows_of(batches):
-            v = profiles.vector(text)
-            if v is not None and (norm := np.linalg.norm(v)):
-                sums[lang] = sums.get(lang, 0) + (v / norm).astype(np.float64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                langs, texts = (c.slice(i, TEXTS).to_pylist() for c in batch.columns)
+                units, _ = profiles.unit_vectors(texts)
+                for lang, v in zip(langs, units.astype(np.float64), strict=True):
+                    sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield table("lang string, dim int, value double", [[lang] * DIM, range(DIM), v])
 
@@ -129,16 +147,12 @@ def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], text: Column,
         profiles = Profiles()
         for batch in batches:
             langs_out, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                v = profiles.vector(text) if langs else None
-                if v is None:
-                    langs_out.append(UNDECIDED)
-                    scores.append(0.0)
-                    continue
-                v = v / (np.linalg.norm(v) or 1)
-                best = int(np.argmax(centred @ (v - mean)))
-                langs_out.append(langs[best])
-                scores.append(float(np.clip(matrix[best] @ v, 0, 1)))
+            for i in range(0, batch.num_rows, TEXTS):
+                units, some = profiles.unit_vectors(batch.column(batch.num_columns - 1).slice(i, TEXTS).to_pylist())
+                best = np.argmax((units - mean) @ centred.T, axis=1) if langs else np.zeros(len(units), np.int64)
+                near = np.clip((units * matrix[best]).sum(axis=1), 0, 1) if langs else np.zeros(len(units))
+                langs_out += [langs[k] if known and langs else UNDECIDED for k, known in zip(best.tolist(), some.tolist(), strict=True)]
+                scores += np.where(some, near, 0.0).tolist()
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch([*columns, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
