@@ -115,10 +115,11 @@ def emit(rows: Iterable[tuple], schema: str, most: int = 2000) -> Iterator[pa.Re
         yield table(schema, list(zip(*held, strict=True)) if held else [[] for _ in schema.split(",")])
 
 
-def chunked(docs: DataFrame, work: Callable[[list[tuple]], tuple[object, dict[int, object]]]) -> DataFrame:
+def chunked(docs: DataFrame, work: Callable[[list[tuple]], tuple[object, dict[int, object]]], level: int = 3) -> DataFrame:
     """First step of the exchange: chunks of rows (last column: text) to blobs and messages.
 
-    work gets the rows of a chunk and returns (state of the chunk, {bucket: message}).
+    work gets the rows of a chunk and returns (state of the chunk, {bucket: message});
+    level is how hard the state is compressed.
     """
     def run(batches):
         from pyspark import TaskContext
@@ -127,7 +128,7 @@ def chunked(docs: DataFrame, work: Callable[[list[tuple]], tuple[object, dict[in
 
         def chunk(rows):
             state, messages = work(rows)
-            yield number, -1, pack(state)
+            yield number, -1, pack(state, level)
             for bucket, message in messages.items():
                 yield number, bucket, pack(message)
 

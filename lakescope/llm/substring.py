@@ -101,7 +101,7 @@ class Chunk:
         gram ^= gram >> np.uint64(27)
         least = np.lib.stride_tricks.sliding_window_view(gram, length - k + 1).argmin(axis=1)
         self.place = at + least[at]
-        self.anchor = gram[self.place]
+        self.anchor = gram[self.place] >> np.uint64(16)  # shared anchors of different words cost time, not results
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, and whether each stands in several places here."""
@@ -174,15 +174,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         messages: dict[int, list] = {}
         for body, mine in seen.items():
             messages.setdefault(mine[5] % n, []).append((body, *mine))
-        return (state, removed, {b: [m[3:6] for m in x] for b, x in messages.items()}), messages
+        return (removed, {b: [m[3:6] for m in x] for b, x in messages.items()}), {b: columns(x) for b, x in messages.items()}
+
+    def columns(entries):
+        """Bodies in one text, and the numbers of each as arrays: null id, id, uid, start, anchor."""
+        bodies, ids, uids, starts, _, _, anchors = zip(*entries, strict=True)
+        null = np.array([i == LAST for i in ids])
+        return b"\n".join(bodies), null, np.array([0 if i == LAST else i for i in ids], np.int64), np.array(uids, np.int64), np.array(starts, np.int32), np.array(anchors, np.int64)
 
     def shard(messages):
         """True for a segment seen before, else which of its windows occur in earlier segments of its anchor."""
         by_anchor: dict[int, list] = {}
-        out = [[None] * len(m) for m in messages]
-        for i, m in enumerate(messages):
-            for j, (body, doc_id, uid, start, _, _, anchor) in enumerate(m):
-                by_anchor.setdefault(anchor, []).append((doc_id, uid, start, i, j, body))
+        out = [[None] * len(m[1]) for m in messages]
+        for i, (bodies, *numbers) in enumerate(messages):
+            for j, (body, null, doc_id, uid, start, anchor) in enumerate(zip(bodies.split(b"\n"), *(x.tolist() for x in numbers), strict=True)):
+                by_anchor.setdefault(anchor, []).append((LAST if null else doc_id, uid, start, i, j, body))
         for group in by_anchor.values():
             group.sort(key=lambda g: g[:3])
             seen: set[bytes] = set()
@@ -203,10 +209,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         return out
 
     def finish(state, answers):
-        ((rows, texts), removed, sent), marks = state, {}
+        (rows, texts), (removed, asked), marks = state, answers[n], {}
         for doc, start, count in removed:
             marks.setdefault(doc, []).append((start, count))
-        for b, list_ in sent.items():
+        for b, list_ in asked.items():
             for (start, doc, count), verdict in zip(list_, answers[b], strict=True):
                 if verdict is True:
                     marks.setdefault(doc, []).append((start, count))
@@ -228,12 +234,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     def send(state, answers):
         number, inner = state
         new, messages = segments(inner, answers)
-        yield number, -1, pack(new)
+        yield number, n, pack(new)
         for b, m in messages.items():
             yield number, b, pack(m)
 
     row = F.to_json(F.struct(*keys)).alias("row")
-    sent = chunked(docs.select(row, F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), text_of(text_col).cast("binary").alias("text")), ask)
+    sent = chunked(docs.select(row, F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), text_of(text_col).cast("binary").alias("text")), ask, level=6)
     shards = stored(gathered(sent, answered(sent, repeated), send, ROWS, numbered=True))
-    out = gathered(shards, answered(shards, shard), finish, OUT)
+    known = shards.filter(F.col("bucket") == n).unionByName(answered(shards.filter(F.col("bucket") < n), shard))
+    out = gathered(sent, known, finish, OUT)
     return out.withColumn("row", F.from_json("row", docs.select(*keys).schema)).select("row.*", "n_words", "n_removed", "kept")
