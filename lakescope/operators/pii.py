@@ -58,11 +58,17 @@ def first_files(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
     return data.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def chosen_groups(groups: DataFrame, fraction: float = FRACTION) -> DataFrame:
+    """A hashed share of files' row groups (path, row_group), always the first of a file."""
+    chance = F.pmod(F.xxhash64("path", "row_group"), F.lit(1_000_000)) < int(fraction * 1_000_000)
+    return groups.filter(chance | (F.col("row_group") == 0))
+
+
 def sampled(rows: DataFrame, fraction: float = FRACTION, per_group: int = ROWS_PER_GROUP, group_rows: int = 1 << 20) -> DataFrame:
-    """Rows of a hashed share of row groups, at most per_group of each, always of the first group of a file.
+    """Rows of a hashed share of runs of rows, the first per_group of each, always of the first run of a file.
 
-    rows come from a Parquet scan. A group is a run of group_rows rows of one file; which are taken depends on the
-    file and the run alone.
+    rows come from a Parquet scan. A run is group_rows rows of one file, whatever the file's row groups; which are
+    taken depends on the file and the run alone. Audits sample by row groups and values (chosen_groups) instead.
     """
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     group = F.floor(row / group_rows)

@@ -18,7 +18,7 @@ from ..operators import orphans as orphan_ops
 from ..operators import pii as pii_ops
 from ..operators import policy as policy_ops
 from ..operators import scoring, stats, writepattern
-from ..sources import metadata, objects
+from ..sources import metadata, objects, parquet
 from ..sources.catalogs import Catalog, NotFound
 from . import exits
 
@@ -104,18 +104,18 @@ def orphans(spark: SparkSession, catalog: Catalog, table: str, prefix: str = "",
 
 
 def pii(spark: SparkSession, catalog: Catalog, table: str, fraction: float = pii_ops.FRACTION, per_group: int = pii_ops.ROWS_PER_GROUP, least: float = pii_ops.MIN_CONFIDENCE, max_files: int = pii_ops.MAX_FILES) -> tuple[int, list[dict]]:
-    """(files sampled, findings). Cells are looked at where they are read; only counts come back."""
+    """(files sampled, findings). Values are looked at where they are read; only counts come back.
+
+    Of each chosen row group, the first per_group non-null values of every string leaf are looked at.
+    """
     tables = tables_of(spark, catalog, table)
     manifests = metadata.manifests(metadata.resolved(tables), skip_bad=True)
     chosen = pii_ops.first_files(metadata.files(manifests, skip_bad=True), max_files)
     places = [r[0] for r in chosen.orderBy("manifest_pos", "entry_pos").select(resolve(F.col("base"), F.col("file_path"))).collect()]
     if not places:
         return 0, []
-    rows = spark.read.option("ignoreMissingFiles", True).option("mergeSchema", True).parquet(*places)
-    columns = pii_ops.string_columns(rows.schema)
-    if not columns:
-        return len(places), []
-    values = pii_ops.cells(pii_ops.sampled(rows, fraction, per_group), columns).withColumn("table_id", F.lit(table))
+    groups = parquet.groups(spark.createDataFrame([(x,) for x in places], "path string"))
+    values = parquet.values(pii_ops.chosen_groups(groups, fraction), per_group).withColumn("table_id", F.lit(table))
     return len(places), [r.asDict() for r in pii_ops.findings(values, least).orderBy("column", "pii_type").collect()]
 
 
