@@ -177,11 +177,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predicted(marked, prototypes, F.col(text_col), F.col(id_col).alias("doc_id"), F.col("_held").alias("held_out"))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, whose text has a letter."""
+    def run(batches):
+        for batch in batches:
+            some = [bool(t) and HAS_LETTER.search(t) is not None for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(some, pa.bool_()))
+
+    whole = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(text_col).cast("string").alias("_text"))
+    return whole.mapInArrow(run, docs.schema)
+
+
 def identified(docs: DataFrame, text_col: str = "text", least: float = 0.0, **columns) -> DataFrame:
-    """The input's rows, all columns, whose text has a language: lang_pred is not und and score is least or more."""
+    """The input's rows, all columns, whose text has a language: lang_pred is not und and score is least or more.
+
+    Where no prototype can be learned, as when no row that is not held out has a language, no text has a score;
+    then only null texts and texts without letters are left out.
+    """
     prepare(docs.sparkSession)
     marked = docs.withColumn("_held", held_out(id_col=columns.get("id_col", "doc_id")))
     prototypes = fit(marked.filter(~F.col("_held")), text_col=text_col, **columns)
+    if not prototypes:
+        return lettered(docs, text_col)
     names = docs.columns
     out = predicted(docs, prototypes, F.col(text_col), *(F.col(f"`{c}`") for c in names))
     return out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*names)
