@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,29 +11,57 @@ from pyspark.sql import types as T
 from ..functions.pii import detected
 
 FRACTION, ROWS_PER_GROUP, MAX_FILES, MIN_CONFIDENCE = 0.05, 1024, 16, 0.5
+CELLS = "array<struct<column:string,value:string>>"
+
+
+#: From a column's value to its leaf's: one value, or an array of them below a list or map.
+Leaf = tuple[bool, Callable[[Column], Column]]
+
+
+def _leaves(kind: T.DataType) -> dict[str, Leaf]:
+    """String and binary leaves of a type by the rest of their path, with whether they are many and how to reach them."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return {"": (False, lambda v: v.cast("string"))}
+    if isinstance(kind, T.StructType):
+        return {f".{f.name}{path}": (many, lambda v, name=f.name, at=at: at(v.getField(name))) for f in kind.fields for path, (many, at) in _leaves(f.dataType).items()}
+    if isinstance(kind, T.ArrayType):
+        return {f".list.element{path}": (True, _each(leaf)) for path, leaf in _leaves(kind.elementType).items()}
+    if isinstance(kind, T.MapType):
+        sides = {"key": (kind.keyType, F.map_keys), "value": (kind.valueType, F.map_values)}
+        return {f".key_value.{side}{path}": (True, lambda v, of=of, at=_each(leaf): at(of(v))) for side, (inner, of) in sides.items() for path, leaf in _leaves(inner).items()}
+    return {}
+
+
+def _each(leaf: Leaf) -> Callable[[Column], Column]:
+    """A leaf of an array's elements, as one array; null arrays inside are left out."""
+    many, at = leaf
+    if many:
+        return lambda v: F.flatten(F.array_compact(F.transform(v, lambda x: at(x))))
+    return lambda v: F.transform(v, lambda x: at(x))
+
+
+def _found(schema: T.StructType) -> dict[str, Leaf]:
+    return {f"{f.name}{path}": (many, lambda name=f.name, at=at: at(F.col(f"`{name}`"))) for f in schema.fields for path, (many, at) in _leaves(f.dataType).items()}
 
 
-def string_columns(schema: T.StructType, prefix: str = "") -> list[str]:
-    """Paths of string and binary leaves, structs and arrays of structs entered."""
-    out = []
-    for f in schema.fields:
-        path, kind = f"{prefix}{f.name}", f.dataType
-        if isinstance(kind, T.StructType):
-            out += string_columns(kind, f"{path}.")
-        elif isinstance(kind, T.StringType | T.BinaryType):
-            out.append(path)
-    return out
+def string_columns(schema: T.StructType) -> list[str]:
+    """Paths of string and binary leaves, structs, arrays and maps entered, as Parquet names them."""
+    return list(_found(schema))
 
 
 def cells(rows: DataFrame, columns: list[str], *keep: str) -> DataFrame:
-    """Non-null values of the columns, one (column, value) a row, with the kept columns."""
-    def path(name: str) -> Column:
-        out = F.col(f"`{name.split('.')[0]}`")
-        for part in name.split(".")[1:]:
-            out = out[part]
-        return out.cast("string")
-
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), path(c).alias("value")) for c in columns))
+    """Non-null values of the columns, one (column, value) a row, with the kept columns; of arrays and maps, each value."""
+    found = _found(rows.schema)
+
+    def cell(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("column"), value.alias("value"))
+
+    single = F.array(*(cell(c, found[c][1]()) for c in columns if not found[c][0]))
+    many = [F.coalesce(_each((False, lambda v, c=c: cell(c, v)))(found[c][1]()), F.array().cast(CELLS)) for c in columns if found[c][0]]
+    if len(many) == len(columns):
+        pairs = F.concat(*many)
+    else:
+        pairs = F.concat(single, *many) if many else single
     return rows.select(*keep, F.explode(pairs).alias("_cell")).select(*keep, "_cell.*").filter("value is not null")
 
 
