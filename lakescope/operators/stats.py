@@ -58,8 +58,9 @@ def partition_stats(files: DataFrame) -> DataFrame:
 
 
 def by_bytes(partitions: DataFrame) -> DataFrame:
-    """Partitions by bytes, largest first, ties by key."""
-    return partitions.orderBy("table_id", F.desc("bytes"), "key")
+    """All partitions by bytes, largest first, ties by key, with their rank in the table."""
+    order = Window.partitionBy("table_id").orderBy(F.desc("bytes"), "key")
+    return partitions.withColumn("rank", F.row_number().over(order)).orderBy("table_id", "rank")
 
 
 def snapshot_stats(snapshots: DataFrame, now_ms: int) -> DataFrame:

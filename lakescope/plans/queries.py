@@ -76,6 +76,12 @@ def agg10_largest_partitions(spark, d):
     return stats.partition_stats(p.files(spark, d, "part")).withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("table_id", "key", "bytes", "rank")
 
 
+@query(f"""SELECT table_id, part_key AS key, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, CAST(row_number() OVER (PARTITION BY table_id ORDER BY sum(file_size_bytes) DESC, part_key) AS INTEGER) AS rank
+FROM files WHERE {LIVE} AND content = 0 GROUP BY 1, 2""", "files")
+def agg10_partitions_by_bytes(spark, d):
+    return stats.by_bytes(stats.partition_stats(p.files(spark, d, "part"))).select("table_id", "key", "bytes", "rank")
+
+
 AGES = f"""SELECT table_id, count(*) AS snapshot_count, max(greatest(0, {NOW} - timestamp_ms)) AS oldest_age_ms, min(greatest(0, {NOW} - timestamp_ms)) AS newest_age_ms FROM snapshots GROUP BY 1"""
 
 
