@@ -8,6 +8,8 @@ preformatted text as it stands, and the cells of a table in aligned columns.
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,8 +33,8 @@ ENDS = {
 }
 SCOPE = frozenset(["table", "td", "th", "caption", "button", "object"])
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
-#: Elements nest to this depth; deeper ones stand beside each other there. A column is aligned up to this width.
-DEPTH, COLUMN = 120, 40
+#: A column is aligned up to this width. Calls that the layout makes for a level of nesting, at most.
+COLUMN, CALLS = 40, 6
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -50,17 +52,30 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.count: Counter[str] = Counter()
+        self.depth = 1
         self.feed(text)
         self.close()
 
+    def push(self, node: Node) -> None:
+        self.open.append(node)
+        self.count[node.tag] += 1
+        self.depth = max(self.depth, len(self.open))
+
+    def cut(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        for n in self.open[k:]:
+            self.count[n.tag] -= 1
+        del self.open[k:]
+
     def end(self, names: set, until: set | frozenset) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
+        k = len(self.open) - 1
+        while k > 0 and any(self.count[x] for x in names):
             if self.open[k].tag in names:
-                del self.open[k:]
-                return self.end(names, until)
-            if self.open[k].tag in until:
-                return None
-        return None
+                self.cut(k)
+            elif self.open[k].tag in until:
+                return
+            k -= 1
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
@@ -75,27 +90,25 @@ class Tree(HTMLParser):
         if tag == "a":
             self.end({"a"}, SCOPE | BLOCKS)
         node = Node(tag, attrs)
-        if len(self.open) >= DEPTH:
-            self.open.pop()
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self.push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "math", "path") and self.open[-1].tag == tag:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
-        elif tag == "p" and not any(n.tag == "p" for n in self.open):
+        elif tag == "p" and not self.count["p"]:
             self.open[-1].children.append(Node("p", {}))
-        elif tag not in ("html", "body"):
+        elif tag not in ("html", "body") and self.count[tag]:
             stop = {"table"} if tag in ("li", "p", "div", "span", "b", "i", "a", "ul", "ol", "dl") else set()
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag == tag:
-                    del self.open[k:]
+                    self.cut(k)
                     return
                 if self.open[k].tag in stop:
                     return
@@ -331,7 +344,12 @@ def rendered(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree(html.replace("\0", ""))
-    return "\n".join(inside(tree.root)).strip("\n")
+    usual = sys.getrecursionlimit()
+    sys.setrecursionlimit(usual + CALLS * tree.depth)  # calls between Python functions take heap, not the C stack
+    try:
+        return "\n".join(inside(tree.root)).strip("\n")
+    finally:
+        sys.setrecursionlimit(usual)
 
 
 def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
