@@ -1,8 +1,8 @@
-"""Exact dedup: a tree-merge of sorted digest runs.
+"""Exact dedup: hash aggregation of digests in three rounds, in place of a tree-merge of sorted digest runs.
 
-Each leaf sorts and combines its digests into a run. In binomial rounds, FAN partitions at a time
-exchange runs and merge them, each keeping the best verified identifier and the size of every group, so
-a text with very many copies costs each merge one row per run and no task ever sees its rows together.
+Rows are combined per leaf, then FAN leaves at a time; each round keeps the best verified identifier and the
+size of every group, so a text with very many copies costs each round one row per leaf and no task ever sees
+its rows together.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def merged(rows: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row per distinct text: KEYS, best (doc_id, uid), n.
 
-    keep: "smallest" or "largest" doc_id. A struct as aggregate makes Spark sort: the partial
-    aggregate leaves a sorted run and the final one merges the runs that the exchange brought together.
+    keep: "smallest" or "largest" doc_id. Each exchange goes by node and digest, so a node's rows are spread over tasks.
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     runs = rows.select(*KEYS, F.struct("doc_id", "uid").alias("best"), F.lit(1).cast("long").alias("n"), F.pmod(F.shiftright("uid", 33), F.lit(LEAVES)).cast("int").alias("node"))
