@@ -22,8 +22,10 @@ DIM, GRAM, SEED = 1024, 3, 7
 #: A bound on the labelled texts per language that the prototypes are fitted on, chosen by a hash of doc_id.
 FIT_PER_LANG = 20_000
 UNDECIDED = "und"
-#: N-grams and texts of one matrix product.
-BLOCK, TEXTS = 8192, 64
+#: Cosine below which a text of at least SURE characters counts as being in no learned language; chance gives about 0.03.
+LEAST, SURE = 0.05, 64
+#: N-grams and texts of one matrix product, and n-grams held at once; a longer text is read in slices.
+BLOCK, TEXTS, HELD = 4096, 64, 1 << 19
 HAS_LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"\P{L}+")
 
@@ -42,17 +44,19 @@ class Profiles:
             self.letters[code] = np.random.default_rng((self.seed, code)).integers(0, 2, self.dim).astype(np.int8) * 2 - 1
         return self.letters[code]
 
-    def codes(self, text: str) -> np.ndarray:
-        """Keys of the text's n-grams: lower-cased letters, words set apart by one blank."""
+    def codes(self, text: str) -> Iterator[np.ndarray]:
+        """Keys of the text's n-grams (lower-cased letters, words set apart by one blank), at most HELD at a time."""
         plain = NOT_LETTERS.sub(" ", text).strip().lower()
         if not plain:
-            return np.empty(0, np.int64)
-        points = np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        n = len(points) - self.gram + 1
-        out = np.zeros(n, np.int64)
-        for i in range(self.gram):
-            out = out << 21 | points[i : i + n]
-        return out
+            return
+        plain = f" {plain} "
+        for at in range(0, max(1, len(plain) - self.gram + 1), HELD):
+            points = np.frombuffer(plain[at : at + HELD + self.gram - 1].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+            n = max(0, len(points) - self.gram + 1)
+            out = np.zeros(n, np.int64)
+            for i in range(self.gram):
+                out = out << 21 | points[i : i + n]
+            yield out
 
     def _of(self, key: int) -> np.ndarray:
         v = np.ones(self.dim, np.int8)
@@ -75,16 +79,28 @@ class Profiles:
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
         """Each text's sum of n-gram vectors; zeros for a text without letters. One matrix product per block of n-grams."""
-        codes = [self.codes(t or "") for t in texts]
-        keys, at = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]), return_inverse=True)
-        doc = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
         out = np.zeros((len(texts), self.dim), np.float32)
+        held, docs, size = [], [], 0
+        for i, text in enumerate(texts):
+            for codes in self.codes(text or ""):
+                held.append(codes)
+                docs.append(i)
+                size += len(codes)
+                if size >= HELD or len(held) >= TEXTS:
+                    self._add(out, docs, held)
+                    held, docs, size = [], [], 0
+        if held:
+            self._add(out, docs, held)
+        return out
+
+    def _add(self, out: np.ndarray, docs: list[int], codes: list[np.ndarray]) -> None:
+        keys, at = np.unique(np.concatenate(codes), return_inverse=True)
+        own = np.repeat(np.arange(len(docs)), [len(c) for c in codes])
         for i in range(0, len(keys), BLOCK):
             here = (at >= i) & (at < i + BLOCK) if len(keys) > BLOCK else slice(None)
             width = min(BLOCK, len(keys) - i)
-            counts = np.bincount(doc[here] * width + (at[here] - i), minlength=len(texts) * width).reshape(len(texts), width)
-            out += counts.astype(np.float32) @ self.rows_of(keys[i : i + BLOCK]).astype(np.float32)
-        return out
+            counts = np.bincount(own[here] * width + (at[here] - i), minlength=len(docs) * width).reshape(len(docs), width)
+            np.add.at(out, docs, counts.astype(np.float32) @ self.rows_of(keys[i : i + BLOCK]).astype(np.float32))
 
     def rows_of(self, keys: np.ndarray) -> np.ndarray:
         places = self.places(keys)
@@ -92,18 +108,18 @@ class Profiles:
 
     def unit_vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The vectors at length one, and which texts have letters."""
-        out = np.empty((len(texts), self.dim), np.float32)
-        for i in range(0, len(texts), TEXTS):
-            out[i : i + TEXTS] = self.vectors(texts[i : i + TEXTS])
+        out = self.vectors(texts)
         some = np.array([bool(t) and HAS_LETTER.search(t) is not None for t in texts], bool)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), some
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = FIT_PER_LANG) -> dict[str, np.ndarray]:
-    """Language prototypes (unit vectors) from rows with a language; null languages and texts are left out.
+    """Language prototypes (unit vectors) from rows with a language.
 
-    A first pass counts the rows of each language, without texts; of a language with more than per_lang rows,
-    those whose hashed id is in the matching share are read. What comes to the driver is one vector a language.
+    Rows whose language or text is null are left out, a text without letters adds nothing, repeated rows count
+    repeatedly, other columns are ignored, and no row gives no prototype. A first pass counts the rows of each
+    language, without texts; of a language with more than per_lang rows, those whose hashed id is in the matching
+    share are read. What comes to the driver is one vector a language.
     """
     prepare(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -119,10 +135,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def run(batches) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(), {}
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS):
-                langs, texts = (c.slice(i, TEXTS).to_pylist() for c in batch.columns)
+            for i, texts in slices(batch.column(1)):
                 units, _ = profiles.unit_vectors(texts)
-                for lang, v in zip(langs, units.astype(np.float64), strict=True):
+                for lang, v in zip(batch.column(0).slice(i, TEXTS).to_pylist(), units.astype(np.float64), strict=True):
                     sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield table("lang string, dim int, value double", [[lang] * DIM, range(DIM), v])
@@ -134,31 +149,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return out
 
 
-def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], text: Column, *keep: Column) -> DataFrame:
-    """The kept columns with lang_pred and score (the cosine, at least 0). und and 0 without letters or prototypes."""
-    prepare(docs.sparkSession)
+def judge(prototypes: dict[str, np.ndarray]) -> Callable[[Profiles, list[str | None]], tuple[list[str], np.ndarray]]:
+    """A function from texts to their languages and scores (the cosine, at least 0); und and 0 without letters or prototypes."""
     langs = list(prototypes)
     matrix = np.array([prototypes[k] for k in langs]) if langs else np.empty((0, DIM))
     mean = matrix.mean(axis=0) if len(langs) > 1 else np.zeros(DIM)
     centred = matrix - mean
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
 
-    def run(batches):
-        profiles = Profiles()
-        for batch in batches:
-            langs_out, scores = [], []
-            for i in range(0, batch.num_rows, TEXTS):
-                units, some = profiles.unit_vectors(batch.column(batch.num_columns - 1).slice(i, TEXTS).to_pylist())
-                best = np.argmax((units - mean) @ centred.T, axis=1) if langs else np.zeros(len(units), np.int64)
-                near = np.clip((units * matrix[best]).sum(axis=1), 0, 1) if langs else np.zeros(len(units))
-                langs_out += [langs[k] if known and langs else UNDECIDED for k, known in zip(best.tolist(), some.tolist(), strict=True)]
-                scores += np.where(some, near, 0.0).tolist()
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*columns, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+    def of(profiles: Profiles, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        units, some = profiles.unit_vectors(texts)
+        if not langs:
+            return [UNDECIDED] * len(texts), np.zeros(len(texts))
+        best = np.argmax((units - mean) @ centred.T, axis=1)
+        near = np.clip((units * matrix[best]).sum(axis=1), 0, 1)
+        return [langs[k] if known else UNDECIDED for k, known in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, near, 0.0)
+
+    return of
 
-    narrow = docs.select(*keep, text.cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")
+
+def slices(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch, TEXTS at a time, and where each part starts."""
+    for i in range(0, len(texts), TEXTS):
+        yield i, texts.slice(i, TEXTS).to_pylist()
 
 
 def held_out(folds: int = 3, fold: int = 1, id_col: str = "doc_id") -> Column:
@@ -166,39 +179,52 @@ def held_out(folds: int = 3, fold: int = 1, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % folds == fold
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: Callable[[], Column] = held_out) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: Callable[..., Column] = held_out) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from rows not held out that have a language.
 
     Null text and text without letters give und with score 0. Repeated rows give repeated results, ties go to
-    the first language by name, an empty table gives an empty result, other columns are ignored.
+    the first language by name, an empty table gives an empty result, other columns are ignored. A text of any
+    length is read in slices of a bounded size.
     """
-    marked = docs.withColumn("_held", held(id_col=id_col))
-    prototypes = fit(marked.filter(~F.col("_held")), id_col, text_col, lang_col)
-    return predicted(marked, prototypes, F.col(text_col), F.col(id_col).alias("doc_id"), F.col("_held").alias("held_out"))
-
+    marked = docs.select(F.col(id_col).alias("doc_id"), held(id_col=id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    of = judge(fit(marked.filter("not held_out")))
 
-def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's rows, all columns, whose text has a letter."""
     def run(batches):
+        profiles = Profiles()
         for batch in batches:
-            some = [bool(t) and HAS_LETTER.search(t) is not None for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(some, pa.bool_()))
+            langs, scores = [], []
+            for _, texts in slices(batch.column(2)):
+                found, near = of(profiles, texts)
+                langs += found
+                scores += near.tolist()
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    whole = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(text_col).cast("string").alias("_text"))
-    return whole.mapInArrow(run, docs.schema)
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return marked.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, text_col: str = "text", least: float = 0.0, **columns) -> DataFrame:
-    """The input's rows, all columns, whose text has a language: lang_pred is not und and score is least or more.
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """The input's rows, all columns, whose text is in a learned language: lang_pred is not und and score is least or more.
 
-    Where no prototype can be learned, as when no row that is not held out has a language, no text has a score;
-    then only null texts and texts without letters are left out.
+    So null texts, texts without letters and texts that are like no learned language go; a text of under SURE
+    characters says too little to be judged by its score and stays if it has a letter. Where no prototype can
+    be learned, as when no row that is not held out has a language, no text has a score; then only null texts
+    and texts without letters go. Repeated rows are judged alike, an empty table gives an empty result, other
+    columns pass through whatever their names are. Texts go to Python once and are read in slices.
     """
-    prepare(docs.sparkSession)
-    marked = docs.withColumn("_held", held_out(id_col=columns.get("id_col", "doc_id")))
-    prototypes = fit(marked.filter(~F.col("_held")), text_col=text_col, **columns)
-    if not prototypes:
-        return lettered(docs, text_col)
-    names = docs.columns
-    out = predicted(docs, prototypes, F.col(text_col), *(F.col(f"`{c}`") for c in names))
-    return out.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*names)
+    marked = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col=id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    prototypes = fit(marked.filter("not held_out"))
+    of, at = judge(prototypes), docs.columns.index(text_col)
+
+    def run(batches):
+        profiles = Profiles()
+        for batch in batches:
+            for i, texts in slices(batch.column(at)):
+                if prototypes:
+                    langs, scores = of(profiles, texts)
+                    stays = [lang != UNDECIDED and (score >= least or len(t) < SURE) for lang, score, t in zip(langs, scores.tolist(), texts, strict=True)]
+                else:
+                    stays = [bool(t) and HAS_LETTER.search(t) is not None for t in texts]
+                yield batch.slice(i, TEXTS).filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

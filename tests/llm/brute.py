@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, for small inputs. documents: lists of (doc_id, text, lang, source)."""
 
 import math
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -117,3 +118,41 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, cap=2):
             fixed[s] = float(cap * size[s])
             rest -= fixed[s]
     return fixed
+
+
+def languages(docs, letter, dim=1024, folds=3, fold=1):
+    """(held, lang_pred, score) of each document; letter: a letter's vector, from its code point."""
+    import numpy as np
+
+    def vector(text):
+        plain = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text or "")
+        plain = " " + " ".join(plain.split(" ")).strip() + " "
+        while "  " in plain:
+            plain = plain.replace("  ", " ")
+        plain = plain.lower()
+        out = np.zeros(dim)
+        for gram, times in Counter(plain[i : i + 3] for i in range(len(plain) - 2)).items():
+            v = np.ones(dim)
+            for place, c in enumerate(gram):
+                v = v * np.roll(letter(ord(c)).astype(float), place)
+            out += times * v
+        return out / (np.linalg.norm(out) or 1) if plain.strip() else None
+
+    held = [zlib.crc32(("null" if d[0] is None else str(d[0])).encode()) % folds == fold for d in docs]
+    units = [vector(d[1]) for d in docs]
+    sums = {}
+    for d, h, u in zip(docs, held, units):
+        if not h and d[2] is not None and u is not None:
+            sums[d[2]] = sums.get(d[2], 0) + u
+    names = sorted(sums)
+    matrix = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    mean = matrix.mean(axis=0) if len(names) > 1 else np.zeros(dim)
+    out = []
+    for h, u in zip(held, units):
+        if u is None:
+            out.append((h, "und", 0.0))
+            continue
+        cosines = [(u - mean) @ (m - mean) / np.linalg.norm(m - mean) for m in matrix]
+        best = int(np.argmax(cosines))
+        out.append((h, names[best], float(np.clip(u @ matrix[best], 0, 1))))
+    return out

@@ -12,7 +12,7 @@ from lakescope.llm import exactdedup, html, katz, langid, mixing, packing, queri
 
 DOC = "doc_id long, text string, lang string, source string"
 #: Columns whose names the operators use inside.
-CLASH = ("uid", "n", "node", "fp", "row", "chunk", "bucket", "body", "_size", "count", "digest", "component", "source_size", "best")
+CLASH = ("score", "lang_pred", "_text", "held_out", "_source", "_target", "_source_size", "_rate", "_copies", "_keep", "_found", "_digest", "keep_id", "uid", "n", "node", "fp", "row", "chunk", "bucket", "body", "_size", "count", "digest", "component", "source_size", "best")
 
 
 def prose(rng, n, vocabulary=60):
@@ -24,7 +24,7 @@ def rows():
     """Nulls, empty and long texts, exact and near copies, shared passages, periodic text, ties, repeated rows."""
     rng = random.Random(5)
     passage, base = prose(rng, 45), prose(rng, 120)
-    texts = [None, "", " \t\n", "one", "Two words", base, base, base.upper(), base.replace("Alpha1", "Alpha2", 1), "a b " * 60, passage, "x   y", "line\x0bfeed\x0cand\x1fmore", "<|endoftext|> a<|startoftext|>B <|ENDOFTEXT|>", "!!! 123 ...", prose(rng, 3000)]
+    texts = [None, "", " \t\n", "one", "Two words", base, base, base.upper(), base.replace("Alpha1", "Alpha2", 1), "a b " * 60, passage, "x   y", "line\x0bfeed\x0cand\x1fmore", "<|endoftext|> a<|startoftext|>B <|ENDOFTEXT|> x<|endoftext|><|startoftext|", "no\u00a0blank,日本語のテキスト。e\u0301J\u030c'S1234ǅİ" * 30, "'re<|endoftext|>\u3000é't\x1f", "!!! 123 ...", prose(rng, 3000)]
     texts += [prose(rng, rng.randrange(1, 80)) + " " + (passage if k % 2 else "") + " " + prose(rng, 10) for k in range(24)]
     out = [(k, t, ("en", "de", None)[k % 3], ("s1", "s2", None, "é")[k % 4]) for k, t in enumerate(texts)]
     rng.shuffle(out)
@@ -297,10 +297,24 @@ def test_language(spark, docs, rows, empty):
     assert [got[k][2:] for k in (900, 901)] == [("und", 0.0)] * 2
     kept = langid.identified(docs)
     assert kept.columns == docs.columns
-    same([(r["doc_id"],) for r in kept.collect()], [(r[0],) for r in rows if any(c.isalpha() for c in r[1] or "")])
+    want = brute.languages(rows, langid.Profiles().letter)
+    same([(r["doc_id"],) for r in kept.collect()], [(r[0],) for r, (_, lang, score) in zip(rows, want) if lang != "und" and (score >= langid.LEAST or len(r[1]) < langid.SURE)])
+    assert 0 < sum(w[1] != "und" for w in want) - kept.count()
+    judged = sorted(map(tuple, langid.identify(docs).collect()), key=repr)
+    for g, w in zip(judged, sorted(((r[0], *w) for r, w in zip(rows, want)), key=repr), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-4)
     assert langid.identify(empty).count() == 0 and {r["lang_pred"] for r in langid.identify(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_vectors_of_long_texts(monkeypatch):
+    """Slices of a text add up to the whole, whatever their size."""
+    rng = random.Random(9)
+    texts = [prose(rng, 400), None, "a", "", prose(rng, 3) + " 12 " * 50]
+    whole = langid.Profiles().vectors(texts)
+    monkeypatch.setattr(langid, "HELD", 37)
+    assert (langid.Profiles().vectors(texts) == whole).all()
+
+
 def test_vectors_by_definition():
     p = langid.Profiles(dim=64)
     v = p.vectors(["Ab c", "12", None])
