@@ -29,26 +29,42 @@ CHUNK_BYTES = 6 << 20
 #: Bytes of text for which one bucket of the exchange is made.
 BUCKET_BYTES = 8 << 20
 ROWS = "chunk long, bucket long, body binary"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines of the session share; one of this machine only where none is named, as in tests."""
+    """The folder that all machines of the session share; one of this machine only for a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named or prepare(spark).sparkContext.getCheckpointDir()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and set a checkpoint folder where the cluster names none."""
+    """Let Python workers import this package, bound Arrow batches by bytes, and see to a shared checkpoint folder.
+
+    A cluster must name the folder in spark.checkpoint.dir; only a local master gets a temporary one.
+    """
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parents[2])
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakescope-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakescope-"))
     return spark
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage through Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared checkpoint folder; its lineage ends there."""
     prepare(frame.sparkSession)
@@ -149,8 +165,8 @@ def chunked(docs: DataFrame, work: Callable[[list[tuple]], tuple[object, dict[in
     return stored(docs.mapInArrow(run, ROWS))
 
 
-def answered(sent: DataFrame, work: Callable[[list[object]], list[object]], summed: bool = False) -> DataFrame:
-    """Second step: each bucket's messages, together, to one answer per message.
+def answered(sent: DataFrame, work: Callable[[list[object]], list[object]], parts: int, summed: bool = False) -> DataFrame:
+    """Second step: each bucket's messages, together, to one answer per message. parts: tasks, as many as buckets.
 
     summed: work returns (answers, totals of the bucket); the totals go into a row of their own, chunk -1.
     """
@@ -162,11 +178,11 @@ def answered(sent: DataFrame, work: Callable[[list[object]], list[object]], summ
             chunks, buckets = [*chunks, -1], [*buckets, buckets[0]]
         return pa.Table.from_batches([table(ROWS, [chunks, buckets, [pack(x) for x in answers]])])
 
-    return sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, ROWS)
+    return sent.filter("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, ROWS)
 
 
-def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[int, object]], Iterable[tuple]], schema: str, numbered: bool = False) -> DataFrame:
-    """Third step: a chunk's state and its answers by bucket, to rows of the given schema.
+def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[int, object]], Iterable[tuple]], schema: str, parts: int, numbered: bool = False) -> DataFrame:
+    """Third step: a chunk's state and its answers by bucket, to rows of the given schema, in as many tasks as parts.
 
     numbered: the state is (number of the chunk, state), for results that name their chunk.
     """
@@ -180,7 +196,13 @@ def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[i
                 answers[bucket] = unpack(body)
         return pa.Table.from_batches(list(emit(work((number, state) if numbered else state, answers), schema)))
 
-    return sent.filter("bucket < 0").unionByName(answers).groupBy("chunk").applyInArrow(run, schema)
+    return sent.filter("bucket < 0").unionByName(answers).repartition(parts, "chunk").groupBy("chunk").applyInArrow(run, schema)
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of consecutive spans, one after another."""
+    sizes = sizes.astype(np.int64)
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -78,7 +78,7 @@ def scored(docs: DataFrame, held: Column, text_col: str = "text", keys: tuple[st
     n = buckets_for(docs, text_col)
 
     def ask(rows):
-        units = Units(False)
+        units = Units()
         units.at[END] = 0
         parts = [units.numbers(r[2].lower()) for r in rows]
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -203,18 +203,18 @@ def scored(docs: DataFrame, held: Column, text_col: str = "text", keys: tuple[st
             yield row[0], row[1], int(tokens[k]), int(sums[0][k]), words.tokens, float(sums[1][k]), float(sums[2][k])
 
     sent = chunked(docs.select(F.to_json(F.struct(*keys)).alias("row"), held.alias("held"), text_of(text_col).cast("binary").alias("text")), ask)
-    answers1 = stored(answered(sent, words, summed=True))
+    answers1 = stored(answered(sent, words, n, summed=True))
     sums = {r["kind"]: r for r in _totals(answers1).collect()}
     head, tail = ([float(sums[k][f"v{i}"]) for i in range(6)] if k in sums else [0.0] * 6 for k in (0, 1))
     model = spark.sparkContext.broadcast(Words(head[0], head[1], tail))
     hot = max(HOT, int(head[0]) // SPLIT)
-    answers2 = stored(answered(gathered(sent, answers1.filter("chunk >= 0"), send, ROWS, numbered=True), pairs, summed=True))
+    answers2 = stored(answered(gathered(sent, answers1.filter("chunk >= 0"), send, ROWS, n, numbered=True), pairs, n, summed=True))
     sums2 = _totals(answers2).collect()
     tail2 = next(([float(r[f"v{i}"]) for i in range(6)] for r in sums2 if r["kind"] == 1), [0.0] * 6)
     pair_d = spark.sparkContext.broadcast(discounts(tail2))
     totals2 = spark.sparkContext.broadcast({r["at"]: (np.array([r[f"v{i}"] for i in range(K)]), r["v5"]) for r in sums2 if r["kind"] == 2})
     both = answers1.filter("chunk >= 0").unionByName(answers2.filter("chunk >= 0").withColumn("bucket", F.col("bucket") + n))
-    out = gathered(sent, both, evaluate, OUT)
+    out = gathered(sent, both, evaluate, OUT, n)
     return out.withColumn("row", F.from_json("row", docs.select(*keys).schema)).select("row.*", *[c.split()[0] for c in OUT.split(", ")[1:]])
 
 

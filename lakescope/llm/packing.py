@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS, answered, buckets_for, chunked, gathered, pack, prepare, stored, text_of
-from .tokencount import Units, checked, distinct, load
+from .common import ROWS, buckets_for, chunked, emit, gathered, pack, prepare, rows_of, spans, text_of, unpack
+from .tokencount import Units, drops_blanks, load
 
 CAPACITY, GROUPS, SMALL = 4096, 48, 8
 END = 1
-#: The bucket of the message that tells a chunk the ranks of its pieces.
-RANKS = 1 << 40
+LENGTHS = "chunk long, length long, n long"
 PIECES = "row string, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -47,7 +46,11 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[floa
 
 
 def configurations(sizes: np.ndarray, needs: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, int]]:
-    """(how many of each size, how many sequences): the linear optimum over configurations, rounded down."""
+    """(how many of each size, how many sequences): the linear optimum over configurations, rounded down.
+
+    Column generation ends at the optimum, or after so many rounds with the best basis found, which costs only
+    sequences: what a plan leaves over is best-fit. A column that would leave no invertible basis ends it too.
+    """
     n = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     for _ in range(rounds):
@@ -58,8 +61,13 @@ def configurations(sizes: np.ndarray, needs: np.ndarray, capacity: int, rounds:
             break
         step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = column
-    x = np.linalg.solve(basis, needs)
+        if not np.isfinite(ratio).any():
+            break
+        leaving = int(np.argmin(ratio))
+        if abs(step[leaving]) < 1e-9 * max(1.0, np.abs(step).max()):
+            break
+        basis[:, leaving] = column
+    x = np.linalg.inv(basis) @ needs
     out, left = [], needs.copy()
     for k in range(n):
         column = np.round(basis[:, k]).astype(int)
@@ -165,83 +173,73 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = G
     return plan
 
 
+def encoded(t, texts: list[bytes], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, one text after another, and how many each has.
+
+    The tokenizer sees each distinct run between ASCII white space once; whole: each text, for tokenizers that need it.
+    """
+    runs, parts = Units(), []
+    if whole:
+        names, flat, words = texts, np.arange(len(texts)), np.ones(len(texts), np.int64)
+    else:
+        parts = [runs.numbers(x) for x in texts]
+        names, flat, words = list(runs.at), np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+    sizes, ids = np.zeros(len(names), np.int64), []
+    for i in range(0, len(names), 4096):
+        inner: list[int] = []
+        for k, e in enumerate(t.encode_batch_fast([w.decode("utf-8", "replace") for w in names[i : i + 4096]], add_special_tokens=False), i):
+            got = e.ids
+            sizes[k] = len(got)
+            inner += got
+        ids.append(np.array(inner, np.uint32))
+    ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+    out = ids[spans((np.cumsum(sizes) - sizes)[flat], sizes[flat])]
+    sums, ends = np.append(0, np.cumsum(sizes[flat])), np.cumsum(words)
+    return out, sums[ends] - sums[ends - words]
+
+
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per piece: key columns, piece, start, length, ids (little-endian unsigned 32 bits), sequence_id, offset.
 
     A document is its ids and then the end id; only one longer than the capacity is cut, into full pieces and a
     last one. Null text is empty and so a piece of one id. Repeated rows are packed repeatedly; null keys stay
     null; other columns are ignored; an empty table gives an empty result.
+
+    Texts are encoded once, in chunks that keep their ids and report how often each length occurs. The plan is made
+    on the driver from the histogram of lengths, of at most capacity entries; chunks learn where their ranks begin.
     """
     spark = prepare(docs.sparkSession)
-    fold, n = checked(tokenizer), buckets_for(docs, text_col)
-
-    def ask(rows):
-        units = Units(fold)
-        parts = [units.numbers(text) for _, text in rows]
-        order, messages = units.messages(n)
-        flat = np.concatenate(parts)
-        flat = flat.astype(np.uint16) if len(units.at) < 65536 else flat
-        return ([r[0] for r in rows], np.array([len(p) for p in parts], np.int32), flat, order), messages
-
-    def encode(messages):
-        names, places = distinct(messages)
-        t, sizes, flat = load(tokenizer), [], []
-        for i in range(0, len(names), 5000):
-            for e in t.encode_batch_fast([w.decode("utf-8", "replace") for w in names[i : i + 5000]], add_special_tokens=False):
-                ids = e.ids
-                sizes.append(len(ids))
-                flat += ids
-        sizes, flat = np.array(sizes, np.int64), np.array(flat, np.uint32)
-        flat = flat.astype(np.uint16) if flat.max(initial=0) < 65536 else flat
-        starts = np.cumsum(sizes) - sizes
-        return [(sizes[p].astype(np.uint32), flat[_spans(starts[p], sizes[p])]) for p in places]
-
-    def table_of(order, answers):
-        sizes, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        parts = [answers[b] for b in sorted(answers) if b != RANKS]
-        if not parts:
-            return sizes, starts, np.empty(0, np.uint32)
-        asked = np.concatenate([p[0] for p in parts]).astype(np.int64)
-        sizes[order], starts[order] = asked, np.cumsum(asked) - asked
-        return sizes, starts, np.concatenate([p[1] for p in parts]).astype(np.uint32)
+    n, whole = buckets_for(docs, text_col), not drops_blanks(load(tokenizer))
 
     def pieces(lengths):
         for i, size in enumerate(lengths.tolist()):
             for piece, start in enumerate(range(0, size, capacity)):
                 yield i, piece, start, min(capacity, size - start)
 
-    def doc_lengths(words, flat, sizes):
-        sums = np.append(0, np.cumsum(sizes[flat])) if len(flat) else np.zeros(1, np.int64)
-        ends = np.cumsum(words)
-        return sums[ends] - sums[ends - words] + 1
-
-    def lengths(state, answers):
-        _, words, flat, order = state
-        sizes, _, _ = table_of(order, answers)
-        found, counts = np.unique([p[3] for p in pieces(doc_lengths(words, flat, sizes))], return_counts=True)
-        return zip(found.tolist(), counts.tolist(), strict=True)
+    def encode(rows):
+        flat, lengths = encoded(load(tokenizer), [r[1] for r in rows], whole)
+        flat = flat.astype(np.uint16) if flat.max(initial=0) < 65536 else flat
+        return ([r[0] for r in rows], lengths, flat), {0: np.unique([p[3] for p in pieces(lengths + 1)], return_counts=True)}
 
     def place(state, answers):
-        rows, words, flat, order = state
-        sizes, starts, ids = table_of(order, answers)
-        rank = dict(zip(*(a.tolist() for a in answers[RANKS]), strict=True))
+        rows, lengths, flat = state
+        rank = dict(zip(*(a.tolist() for a in answers[0]), strict=True))
         plan_key, plan_rank, plan_sequence, plan_offset = plan_table.value
-        per_doc = doc_lengths(words, flat, sizes)
-        at = np.append(0, np.cumsum(words))
+        first = np.cumsum(lengths) - lengths
         made = (-1, None)
-        for i, piece, start, size in pieces(per_doc):
+        for i, piece, start, size in pieces(lengths + 1):
             if made[0] != i:
-                unit = flat[at[i] : at[i + 1]]
-                made = i, np.append(ids[_spans(starts[unit], sizes[unit])], np.uint32(end)).astype("<u4")
+                made = i, np.append(flat[first[i] : first[i] + lengths[i]], np.uint32(end)).astype("<u4")
             r = rank[size]
             rank[size] = r + 1
             k = int(np.searchsorted(plan_key, (size << 40) + r, "right")) - 1
             yield rows[i], piece, start, size, made[1][start : start + size].tobytes(), int(plan_sequence[k] + r - plan_rank[k]), int(plan_offset[k])
 
-    sent = chunked(docs.select(F.to_json(F.struct(*keys)).alias("row"), text_of(text_col).cast("binary").alias("text")), ask)
-    answers = stored(answered(sent, encode))
-    # Counts of lengths by chunk: each chunk learns where the ranks of its pieces of a length begin.
-    counts = _lengths_by_chunk(sent, answers, lengths)
+    def lengths_of(batches):
+        yield from emit(((chunk, *pair) for chunk, body in rows_of(batches) for pair in zip(*(a.tolist() for a in unpack(body)), strict=True)), LENGTHS, 100_000)
+
+    sent = chunked(docs.select(F.to_json(F.struct(*keys)).alias("row"), text_of(text_col).cast("binary").alias("text")), encode)
+    counts = sent.filter("bucket = 0").select("chunk", "body").mapInArrow(lengths_of, LENGTHS)
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     plan = np.array(sorted(planned(histogram, capacity).places), np.int64).reshape(-1, 5)
     plan_table = spark.sparkContext.broadcast(((plan[:, 0] << 40) + plan[:, 1], plan[:, 1], plan[:, 3], plan[:, 4]))
@@ -249,25 +247,9 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def tell(group: pa.Table) -> pa.Table:
         body = pack((group["length"].to_numpy(), group["rank"].to_numpy()))
-        return pa.table({"chunk": group["chunk"][:1], "bucket": pa.array([RANKS]), "body": pa.array([body], pa.binary())})
+        return pa.table({"chunk": group["chunk"][:1], "bucket": pa.array([0]), "body": pa.array([body], pa.binary())})
 
     ranks = counts.withColumn("rank", before).select("chunk", "length", "rank").groupBy("chunk").applyInArrow(tell, ROWS)
-    out = gathered(sent, answers.unionByName(ranks), place, PIECES)
+    out = gathered(sent, ranks, place, PIECES, n)
     kind = docs.select(*keys).schema
     return out.withColumn("row", F.from_json("row", kind)).select("row.*", "piece", "start", "length", "ids", "sequence_id", "offset")
-
-
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of consecutive spans, one after another."""
-    sizes = sizes.astype(np.int64)
-    total = int(sizes.sum())
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-
-
-def _lengths_by_chunk(sent: DataFrame, answers: DataFrame, lengths) -> DataFrame:
-    """chunk, length, n, stored."""
-    def with_chunk(state, got):
-        number, inner = state
-        return ((number, length, n) for length, n in lengths(inner, got))
-
-    return stored(gathered(sent, answers, with_chunk, "chunk long, length long, n long", numbered=True))

@@ -79,7 +79,7 @@ class Chunk:
     """A chunk's words and windows: where windows start, and the anchor of each."""
 
     def __init__(self, texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR):
-        units = Units(False)
+        units = Units()
         parts = [units.numbers(t) for t in texts]
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -240,7 +240,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     row = F.to_json(F.struct(*keys)).alias("row")
     sent = chunked(docs.select(row, F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), text_of(text_col).cast("binary").alias("text")), ask, level=6)
-    shards = stored(gathered(sent, answered(sent, repeated), send, ROWS, numbered=True))
-    known = shards.filter(F.col("bucket") == n).unionByName(answered(shards.filter(F.col("bucket") < n), shard))
-    out = gathered(sent, known, finish, OUT)
+    shards = stored(gathered(sent, answered(sent, repeated, n), send, ROWS, n, numbered=True))
+    known = shards.filter(F.col("bucket") == n).unionByName(answered(shards.filter(F.col("bucket") < n), shard, n))
+    out = gathered(sent, known, finish, OUT, n)
     return out.withColumn("row", F.from_json("row", docs.select(*keys).schema)).select("row.*", "n_words", "n_removed", "kept")

@@ -1,27 +1,33 @@
 """Token counts: pieces are counted once per distinct pre-token of the corpus.
 
 Each chunk of documents keeps its documents' pre-token frequencies and asks for its distinct pre-tokens by
-hash bucket; a bucket runs the tokenizer once over the distinct ones of all chunks; the answers are joined
-to the frequencies and summed. No ids of a text are made. Pre-tokens are runs between ASCII white space: for
-a tokenizer that drops white space, a text's tokens are those of its runs, special strings included.
+hash bucket; a bucket runs the tokenizer's model once over the distinct ones of all chunks; the answers are
+joined to the frequencies and summed. No ids of a text are made. Pre-tokens are those of the tokenizer's own
+normalizer and pre-tokenizer; these see each distinct run between ASCII white space of a chunk once, which
+suits tokenizers that drop white space. Special strings are cut out first, as the library does.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answered, buckets_for, chunked, gathered, prepare, text_of
+from .common import answered, buckets_for, chunked, gathered, prepare, spans, text_of
 
 COUNTS = "row string, n_bytes long, n_tokens long"
+#: Before a special string, so that it equals no pre-token.
+MARK = "\0"
 
 
+@lru_cache(maxsize=4)
 def load(path: str):
-    """The tokenizer of a .json file, as its library reads it, without truncation or padding."""
+    """The tokenizer of a .json file, as its library reads it, without truncation or padding; once per process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -32,43 +38,45 @@ def load(path: str):
 
 
 def drops_blanks(t) -> bool:
-    """Whether texts can be cut at ASCII white space without changing their tokens."""
-    sample = ("a b", "a\tb\n", " .\x0b,\x0c(\r\n x")
-    return all(t.encode(s, add_special_tokens=False).ids == [i for w in s.split() for i in t.encode(w, add_special_tokens=False).ids] for s in sample)
+    """Whether texts can be cut at ASCII white space without changing their tokens, shown on samples of every such character."""
+    def ids(text: str) -> list[int]:
+        return t.encode(text, add_special_tokens=False).ids
 
+    words = ("a", "The", "don't", "x1", "3,", "...", "(é", "日本", "e\u0301")
+    samples = [b.join(words) for b in (" ", "\t", "\n", "\v", "\f", "\r", "\r\n", "  ", " \n\t")]
+    return all(ids(edge + s + edge) == [i for w in words for i in ids(w)] for s in samples for edge in ("", " ", "\n"))
 
-def folds_case(t) -> bool:
-    return all(t.encode(c, add_special_tokens=False).ids == t.encode(c.lower(), add_special_tokens=False).ids for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-
-def checked(path: str) -> bool:
-    """Raise unless the tokenizer suits; whether ASCII case may be folded before the lookup."""
+def checked(path: str) -> None:
+    """Raise unless the tokenizer suits: it drops white space, and its added strings are matched as they stand."""
     t = load(path)
     if not drops_blanks(t):
-        raise ValueError(f"{path}: its tokens depend on white space, so runs cannot be counted alone")
-    return folds_case(t)
+        raise ValueError(f"{path}: its tokens depend on white space, so runs cannot be taken alone")
+    if any(a.single_word or a.lstrip or a.rstrip or a.normalized for a in t.get_added_tokens_decoder().values()):
+        raise ValueError(f"{path}: its added strings are not matched as they stand")
 
 
 class Units:
     """The distinct runs of a chunk, numbered."""
 
-    def __init__(self, fold: bool):
-        self.fold, self.at = fold, {}
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
 
     def numbers(self, text: bytes) -> np.ndarray:
-        #: special strings are matched before any folding, so texts that may hold one are left as they are
-        words = (text.lower() if self.fold and b"<" not in text else text).split()
-        at = self.at
+        words, at = text.split(), self.at
         return np.fromiter([at.setdefault(w, len(at)) for w in words], np.int32, len(words))
 
     def messages(self, n: int) -> tuple[np.ndarray, dict[int, bytes]]:
-        """The order in which units are asked for, and per bucket its units, joined by line ends."""
-        names = list(self.at)
-        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % n for w in names), np.int32, len(names))
-        order = np.argsort(bucket, kind="stable").astype(np.int32)
-        found, starts = np.unique(bucket[order], return_index=True)
-        cut = np.append(starts, len(order))
-        return order, {int(b): b"\n".join([names[k] for k in order[i:j]]) for b, i, j in zip(found, cut, cut[1:], strict=False)}
+        return messages(list(self.at), n)
+
+
+def messages(names: list[bytes], n: int) -> tuple[np.ndarray, dict[int, bytes]]:
+    """The order in which names are asked for, and per bucket its names, joined by line ends."""
+    bucket = np.fromiter((xxhash.xxh32_intdigest(w) % n for w in names), np.int32, len(names))
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    found, starts = np.unique(bucket[order], return_index=True)
+    cut = np.append(starts, len(order))
+    return order, {int(b): b"\n".join([names[k] for k in order[i:j]]) for b, i, j in zip(found, cut, cut[1:], strict=False)}
 
 
 def distinct(messages: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
@@ -78,33 +86,77 @@ def distinct(messages: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     return list(at), places
 
 
+def pre_tokens(t, runs: list[bytes], most: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of runs, each run's pre-tokens by number, one run after another, and how many each has."""
+    at: dict[str, int] = {}
+    special = [a.content for a in t.get_added_tokens_decoder().values()]
+    cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+    normal = t.normalizer.normalize_str if t.normalizer else str
+    before = t.pre_tokenizer.pre_tokenize_str if t.pre_tokenizer else lambda s: [(s, (0, len(s)))] if s else []
+
+    def alone(run: str) -> list[str]:
+        out, done = [], 0
+        for m in cut.finditer(run) if cut else ():
+            out += [w for w, _ in before(normal(run[done : m.start()]))] + [MARK + m[0]]
+            done = m.end()
+        return out + [w for w, _ in before(normal(run[done:]))]
+
+    flat: list[int] = []
+    sizes = np.zeros(len(runs), np.int64)
+    for i in range(0, len(runs), most):
+        texts = [r.decode("utf-8", "replace") for r in runs[i : i + most]]
+        odd = {k for k, w in enumerate(texts) if len(w.split()) != 1 or cut and cut.search(w)}
+        plain = normal(" ".join(w for k, w in enumerate(texts) if k not in odd))
+        found, parts, one = before(plain), {}, plain.split(" ")
+        if len(one) != len(texts) - len(odd):  # the normalizer made blanks
+            odd = set(range(len(texts)))
+        else:
+            ends = np.cumsum([len(w) + 1 for w in one])
+            of = np.searchsorted(ends, np.fromiter((a for _, (a, _) in found), np.int64, len(found)), "right")
+            counts = np.bincount(of, minlength=len(one))
+        if not odd:
+            flat += [at.setdefault(w, len(at)) for w, _ in found]
+            sizes[i : i + len(texts)] = counts
+            continue
+        parts = {k: alone(texts[k]) for k in odd}
+        names, done, k = [w for w, _ in found], 0, 0
+        for j in range(len(texts)):
+            if j not in odd:
+                parts[j] = names[done : done + int(counts[k])]
+                done, k = done + int(counts[k]), k + 1
+            flat += [at.setdefault(w, len(at)) for w in parts[j]]
+            sizes[i + j] = len(parts[j])
+    return list(at), np.array(flat, np.int64), sizes
+
+
 def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per input row: the key columns, n_bytes (UTF-8) and n_tokens, without added special tokens.
 
     Null text is empty: 0 bytes, 0 tokens. Repeated rows repeat; nulls in key columns stay null; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. A text of any length counts whole.
     """
     prepare(docs.sparkSession)
-    fold, n = checked(tokenizer), buckets_for(docs, text_col)
+    checked(tokenizer)
+    n = buckets_for(docs, text_col)
 
     def ask(rows):
-        units, parts = Units(fold), []
-        for i, (_, text) in enumerate(rows):
-            parts.append(units.numbers(text) | np.int64(i) << 32)
-        pairs, freq = np.unique(np.concatenate(parts), return_counts=True)
-        order, messages = units.messages(n)
+        runs = Units()
+        parts = [runs.numbers(text) for _, text in rows]
+        names, inner, sizes = pre_tokens(load(tokenizer), list(runs.at))
+        flat, words = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        doc = np.repeat(np.repeat(np.arange(len(rows)), words), sizes[flat])
+        pairs, freq = np.unique(doc << 32 | inner[spans((np.cumsum(sizes) - sizes)[flat], sizes[flat])], return_counts=True)
+        order, asked = messages([w.encode() for w in names], n)
         at = (pairs & 0xFFFFFFFF).astype(np.int32)
         per_doc = np.bincount(pairs >> 32, minlength=len(rows)).astype(np.int32)
         step = np.diff(at, prepend=0).astype(np.int32)
         small = freq.astype(np.uint16 if freq.max(initial=0) < 65536 else np.int64)
-        return ([r[0] for r in rows], [len(r[1]) for r in rows], per_doc, step, small, order), messages
-
-    def count(messages):
-        names, places = distinct(messages)
-        t, sizes = load(tokenizer), []
-        for i in range(0, len(names), 5000):
-            sizes += [len(e) for e in t.encode_batch_fast([w.decode("utf-8", "replace") for w in names[i : i + 5000]], add_special_tokens=False)]
-        sizes = np.array(sizes, np.int32)
+        return ([r[0] for r in rows], [len(r[1]) for r in rows], per_doc, step, small, order), asked
+
+    def count(asked):
+        names, places = distinct(asked)
+        tokenize = load(tokenizer).model.tokenize
+        sizes = np.fromiter((1 if w.startswith(b"\0") else len(tokenize(w.decode())) for w in names), np.int32, len(names))
         return [sizes[p] for p in places]
 
     def total(state, answers):
@@ -119,6 +171,6 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", keys:
 
     key = F.to_json(F.struct(*keys))
     sent = chunked(docs.select(key.alias("row"), text_of(text_col).cast("binary").alias("text")), ask)
-    out = gathered(sent, answered(sent, count), total, COUNTS)
+    out = gathered(sent, answered(sent, count, n), total, COUNTS, n)
     kind = docs.select(*keys).schema
     return out.withColumn("row", F.from_json("row", kind)).select("row.*", "n_bytes", "n_tokens")
