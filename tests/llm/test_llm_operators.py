@@ -65,6 +65,38 @@ def test_exact_dedup(docs, rows, empty):
     assert exactdedup.exact_groups(empty).count() == 0 == exactdedup.exact_dedup(empty).count()
 
 
+@pytest.mark.parametrize(("run", "range_", "hot"), [(3, 4, 1), (1, 1000, 10_000), (1000, 1, 0)])
+def test_exact_dedup_in_many_runs(docs, monkeypatch, run, range_, hot):
+    """Small runs, many rounds and ranges, and groups met by broadcast give what one run gives."""
+    def results():
+        return [sorted(map(repr, f.collect())) for f in (exactdedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "text_sha256"), exactdedup.exact_dedup(docs).select("doc_id", F.coalesce("text", F.lit(""))))]
+
+    whole = results()
+    for name, value in (("RUN", run), ("RANGE", range_), ("HOT", hot)):
+        monkeypatch.setattr(exactdedup, name, value)
+    assert results() == whole
+
+
+def test_runs_keep_collisions_apart():
+    """Equal digests with other lengths or second hashes are other texts; the best id of each stays at every level."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.randrange(2), rng.randrange(2), rng.randrange(9), k) for k in range(400)]
+    for largest in (False, True):
+        runs = []
+        for i in range(0, 400, 40):
+            a = np.zeros(40, exactdedup.ENTRY)
+            for j, (d, c, b, doc, uid) in enumerate(rows[i : i + 40]):
+                a[j] = (7, 7, 7, d, c, b, doc == 8, 0 if doc == 8 else doc, uid, 1, 1)
+            runs.append(exactdedup.merge([a], largest))
+        while len(runs) > 1:
+            runs = [exactdedup.merge(runs[k : k + 3], largest) for k in range(0, len(runs), 3)]
+        got = {(int(e["d3"]), int(e["check"]), int(e["n_bytes"])): (-1 if e["null"] else int(e["doc_id"]), int(e["n"]), int(e["same"])) for e in runs[0]}
+        groups = defaultdict(list)
+        for d, c, b, doc, _ in rows:
+            groups[d, c, b].append(-1 if doc == 8 else doc)
+        assert got == {k: ((max if largest else min)(v), len(v), v.count((max if largest else min)(v))) for k, v in groups.items()}
+
+
 def test_fingerprints(rows):
     for r in rows:
         assert simhash.fingerprint((r[1] or "").encode()) % 2**64 == brute.fingerprint(r[1])
@@ -112,21 +144,29 @@ def test_links_over_tiles(spark, monkeypatch):
 
 
 def test_mixing(docs, rows, empty, spark):
-    out = mixing.copies(docs, mixing.words()).select("doc_id", "source", "text", "_copies", "_target", "_source_size", F.col("_size")).collect()
+    out = mixing.copies(docs, mixing.words()).select("row.source", "copies", "target", "source_size").collect()
     size = Counter()
     for r in rows:
         size[r[3]] += len(brute.words(r[1]))
     want = brute.targets(list(size.items()))
     assert len(out) == len(rows)
     for r in out:
-        assert r["_target"] == pytest.approx(want[r["source"]]) and r["_source_size"] == size[r["source"]] and 0 <= r["_copies"] <= 2
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == size[r["source"]] and 0 <= r["copies"] <= 2
     mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["_copies"] for r in out)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
     assert mixing.mix(empty).count() == 0
     zero = spark.createDataFrame([(1, None, "en", "s"), (2, "", "en", None)], DOC)
     assert mixing.mix(zero).count() == 0
 
 
+def test_mixing_many_sources(docs, monkeypatch):
+    """Beyond the sources that are broadcast, the salted join takes the same."""
+    take = lambda: sorted(map(repr, mixing.copies(docs, mixing.words()).select("row.doc_id", "row.text", "target", "copies").collect()))
+    few = take()
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert take() == few
+
+
 def test_mixing_levels(spark):
     rng = random.Random(2)
     for _ in range(6):
@@ -137,7 +177,7 @@ def test_mixing_levels(spark):
 
 def test_mix_comes_near_targets(spark):
     frame = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"), (F.col("id") % 97).alias("size"))
-    r = mixing.copies(frame, F.col("size")).groupBy("source").agg(F.sum(F.col("_copies") * F.col("size")).alias("got"), F.first("_target").alias("want")).collect()
+    r = mixing.copies(frame, F.col("size")).groupBy("row.source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.first("target").alias("want")).collect()
     assert all(abs(x["got"] / x["want"] - 1) < 0.05 for x in r)
 
 
