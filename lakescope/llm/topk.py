@@ -1,11 +1,11 @@
 """Exact top-k search by no-random-access aggregation.
 
-Vectors are cut into blocks. A block has, for every component, its values as a sorted list; for a query, a
-list is read from its high end where the query's component is positive and from its low end where it is
-negative. Lists are read to ever greater depths. At a depth, a vector's score lies between its seen
-contributions plus each unread list's worst, and plus each unread list's next value. When the k-th best lower
-bound exceeds the upper bound of all outsiders, the rest is read for the few that are left.
-Bounds for all queries and vectors of a block at one depth are four matrix products.
+Vectors are cut into blocks, and these into tiles. A tile has, for every component, its values as a sorted list,
+made once for all queries; for a query, a list is read in sequence, from its high end where the query's component
+is positive and from its low end where it is negative. What is read is added to the vectors' scores; a score lies
+between what was read plus each unread list's worst, and plus each unread list's frontier. Reading stops when few
+outsiders can still reach the k-th best lower bound, or the k-th score of the tiles before; the final scores of
+those few are resolved, and a block passes on k vectors a query.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from .common import emit, prepare, rows_of, stored
 
 SCALE = 256
-CANDIDATES, QUERIES, TILE = 16384, 4096, 2048
+CANDIDATES, QUERIES, TILE = 16384, 1024, 2048
+#: First depth and vectors left at the end, per k. Sums of doubles are exact integers below this.
+FIRST, FEW, EXACT = 4, 4, 2.0**52
 BLOCK = "part long, dim int, ids binary, uids binary, body binary"
 FOUND = "query_id long, quid long, vec_id long, uid long, score long"
 
@@ -55,57 +57,64 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.mapInArrow(run, BLOCK)
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; beyond what a double holds exactly, by Python integers, held to 64 bits."""
-    if q.shape[1] * (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) < 2.0**53:
-        return (q @ x.T).astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
-    return np.clip(whole(q) @ whole(x).T, -(2**63), 2**63 - 1).astype(np.int64)
-
-
-def search(q: np.ndarray, q_uids: np.ndarray, x: np.ndarray, uids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the positions and scores of its k best in the block, ordered; x is sorted by (vec_id, uid)."""
-    n, d = x.shape
-    at = np.argsort(-x, axis=0, kind="stable")
-    rank = np.empty_like(at)
-    np.put_along_axis(rank, at, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(x, at, axis=0)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    small = d * (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) < 2.0**50
-    active, alive = np.arange(len(q)), np.ones((len(q), n), bool)
-    alive &= uids[None, :] != q_uids[:, None]
-    depth, out = max(4 * k, n // 4), [None] * len(q)
-    while len(active):
-        if depth < n and small:
-            seen_up, seen_down = rank < depth, rank >= n - depth
-            read = up[active] @ (x * seen_up).T + down[active] @ (x * seen_down).T
-            def unread(end_up, end_down):
-                return (up[active] * end_up) @ (~seen_up).T.astype(np.float64) + (down[active] * end_down) @ (~seen_down).T.astype(np.float64)
-            upper = read + unread(lists[depth], lists[n - 1 - depth])
-            lower = read + unread(lists[n - 1], lists[0])
-            lower[~alive[active]] = -np.inf
-            if n > k:
-                kth = np.partition(lower, n - k, axis=1)[:, n - k]
-                alive[active] &= upper >= kth[:, None]
-            done = alive[active].sum(axis=1) <= max(4 * k, n // 16)
-            depth *= 2
-        else:
-            done = np.ones(len(active), bool)
-        for i in active[done]:
-            rest = np.flatnonzero(alive[i])
-            scores = _exact(q[i : i + 1], x[rest])[0]
-            best = np.lexsort((rest, -scores))[:k] if len(rest) <= 64 else _best(scores, k)
-            out[i] = rest[best], scores[best]
-        active = active[~done]
-    return out
-
-
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest, ties to the earlier one, in order."""
-    kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else scores.min()
-    above = np.flatnonzero(scores > kth)
-    at = np.concatenate([above, np.flatnonzero(scores == kth)[: k - len(above)]])
-    return at[np.lexsort((at, -scores[at]))]
+class Lists:
+    """A tile's vectors as one list per component, in falling order; read from its end for negative components of a query."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.at = np.argsort(-x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.at, axis=0)
+        self.largest = np.abs(x).max(initial=0)
+
+    def read(self, up: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and values at ranks begin to end of every list, read from the end that suits the query."""
+        n = len(self.x)
+        back = slice(n - end, n - begin)
+        return np.where(up, self.at[begin:end], self.at[back][::-1]), np.where(up, self.values[begin:end], self.values[back][::-1])
+
+
+def search(lists: Lists, q: np.ndarray, own: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions and exact scores that hold a query's k best of a tile, and how deep the lists were read.
+
+    own: positions that take no part. Vectors whose scores are below floor may be left out: k better ones are known.
+    A vector's score lies between what was read of it plus each unread list's worst, and plus each one's frontier.
+    When too few can still be among the k best, their final scores are resolved.
+    """
+    n, d = lists.x.shape
+    if d * np.abs(q).max(initial=0) * lists.largest >= EXACT:
+        rest = np.setdiff1d(np.arange(n), own)
+        whole = np.vectorize(int, otypes=[object])
+        scores = [max(-(2**63), min(2**63 - 1, int(s))) for s in whole(lists.x[rest]) @ whole(q)] if len(rest) else []
+        return rest, np.array(scores, np.int64), n
+    up = q >= 0
+    worst = q * np.where(up, lists.values[-1], lists.values[0])
+    score, left = np.zeros(n), np.full(n, worst.sum())
+    out = np.zeros(n, bool)
+    out[own] = True
+    seen, depth = [], 0
+    while depth < n:
+        end = min(n, max(FIRST * k, n // 8) if not depth else 2 * depth)
+        ids, values = lists.read(up, depth, end)
+        parts = values * q
+        flat = ids.ravel()
+        score += np.bincount(flat, parts.ravel(), n)
+        left -= np.bincount(flat, np.broadcast_to(worst, ids.shape).ravel(), n)
+        seen.append(flat)
+        depth = end
+        if depth == n:
+            break
+        front = parts[-1]
+        known = sum(np.bincount(f, np.broadcast_to(front, (len(f) // d, d)).ravel(), n) for f in seen)
+        upper, lower = score + front.sum() - known, score + left
+        lower[out] = -np.inf
+        kth = max(floor, np.partition(lower, n - k)[n - k] if n > k else -np.inf)
+        out |= upper < kth
+        rest = np.flatnonzero(~out)
+        if len(rest) <= FEW * k:
+            scores = lists.x[rest] @ q
+            return rest[scores >= floor], scores[scores >= floor].astype(np.int64), depth
+    rest = np.flatnonzero(~out & (score >= floor))
+    return rest, score[rest].astype(np.int64), n
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -114,12 +123,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     is_query(column) marks the rows that ask. Rows without id or vector, with an empty vector or with null or
     non-finite components take no part; vectors of different lengths do not meet. Rows that share an id are
     separate candidates, and separate queries. Fewer candidates than k give fewer rows; no row gives none.
+    Other columns are ignored. Where products pass 2 to the 52, scores are summed as whole numbers without bounds;
+    a score beyond 64 bits is held to the range of a long.
     """
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("uid"), F.col(vector_col).alias("embedding"))
     rows = stored(rows)
     blocks = stored(_blocks(rows, CANDIDATES))
-    asked = stored(_blocks(rows.filter(is_query(F.col("vec_id"))).coalesce(4), QUERIES))
+    ask = rows.filter(is_query(F.col("vec_id")))
+    asked = stored(_blocks(ask.repartition(ask.count() // QUERIES + 1), QUERIES))
     # Each query block meets each candidate block: the query blocks are dealt to the blocks' numbers, by an equi-join.
     heads = blocks.select("part", "dim").join(asked.select("part", "dim").toDF("qpart", "dim"), "dim")
     queries = asked.select(F.col("part").alias("qpart"), F.col("ids").alias("q_ids"), F.col("uids").alias("q_uids"), F.col("body").alias("q_body"))
@@ -131,15 +143,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
             for dim, q_ids, q_uids, q_body, ids, uids, body in rows_of(batches):
                 q_ids, q_uids, ids, uids = (np.frombuffer(a, np.int64) for a in (q_ids, q_uids, ids, uids))
                 q, x = (np.frombuffer(a, np.float64).reshape(-1, dim) for a in (q_body, body))
-                for j in range(0, len(x), TILE):
-                    for i in range(0, len(q), 512):
-                        part = search(q[i : i + 512], q_uids[i : i + 512], x[j : j + TILE], uids[j : j + TILE], k)
-                        for m, (best, scores) in enumerate(part, i):
-                            for b, s in zip(best.tolist(), scores.tolist(), strict=True):
-                                yield int(q_ids[m]), int(q_uids[m]), int(ids[j + b]), int(uids[j + b]), s
+                yield from best(q_ids, q_uids, q, ids, uids, [(j, Lists(x[j : j + TILE])) for j in range(0, len(x), TILE)])
 
         yield from emit(found(), FOUND, 20_000)
 
+    def best(q_ids, q_uids, q, ids, uids, tiles):
+        """The k best of a candidate block for each query; each tile's search knows the k-th score so far."""
+        place = dict(zip(uids.tolist(), range(len(uids)), strict=True))
+        for i in range(len(q)):
+            own = place.get(int(q_uids[i]), -1)
+            at, scores, floor = np.empty(0, np.int64), np.empty(0, np.int64), -np.inf
+            for j, lists in tiles:
+                found, more, _ = search(lists, q[i], np.array([own - j] if j <= own < j + len(lists.x) else [], np.int64), k, floor)
+                at, scores = np.append(at, found + j), np.append(scores, more)
+                order = np.lexsort((uids[at], ids[at], ~scores))[:k]
+                at, scores = at[order], scores[order]
+                floor = float(scores[-1]) if len(scores) == k else -np.inf
+            for a, s in zip(at.tolist(), scores.tolist(), strict=True):
+                yield int(q_ids[i]), int(q_uids[i]), int(ids[a]), int(uids[a]), s
+
     order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     ranked = pairs.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
