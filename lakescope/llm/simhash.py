@@ -3,8 +3,9 @@
 Fingerprints of 64 bits are made per document. Distinct ones, sorted by their population counts, are cut
 into tiles of a fixed size. A pair of tiles is compared, by numpy exclusive-or and bit counts, unless the
 population counts of the tiles (of the whole, the halves and the quarters of the fingerprint) differ by more
-than the radius. A pair of tiles reports a spanning forest of its links, so many near copies of one text
-give few rows, and components are found from the forests.
+than the radius. Tiles are dealt to a grid: a cell compares the tiles of one group with those of another, so a tile
+travels once per group and not once per tile it meets. A cell reports a spanning forest of its links, so many near
+copies of one text give few rows, and components are found from the forests.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, prepare, rows_of, stored, text_of
+from .common import emit, prepare, stored, text_of
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 TILE, BLOCK = 32768, 256
+#: Tiles on a side of a grid's cell at most (32 MB of tiles in a cell), and groups of tiles that are made before cells grow.
+SIDE, GROUPS = 32, 24
 #: Masks whose population counts order the fingerprints: whole, halves, quarters.
 MASKS = np.array([2**64 - 1, 2**32 - 1 << 32, 2**32 - 1, *(0xFFFF << s for s in (48, 32, 16, 0))], dtype=np.uint64)
 LEVELS = ((0,), (1, 2), (3, 4, 5, 6))
@@ -88,7 +91,7 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = nxt
 
 
-def forest(fps_a: np.ndarray, fps_b: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
+def forest(fps_a: np.ndarray, fps_b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links within radius between two tiles (or within one, b None) as a forest over positions, b's after a's."""
     same = fps_b is None
     fps_b = fps_a if same else fps_b
@@ -107,11 +110,15 @@ def forest(fps_a: np.ndarray, fps_b: np.ndarray | None, radius: int = RADIUS) ->
             if len(i):
                 _join(root, i + k * BLOCK, at[j] + shift)
     linked = np.flatnonzero(root != np.arange(len(root)))
-    return [(int(x), int(root[x])) for x in linked]
+    return linked, root[linked]
+
+
+LO, HI = [f"lo{k}" for k in range(len(MASKS))], [f"hi{k}" for k in range(len(MASKS))]
+TILES = "part int, tile long, nodes binary, fps binary, " + ", ".join(f"{c} int" for c in LO + HI)
 
 
 def _tiles(distinct: DataFrame, parts: int) -> DataFrame:
-    """tile, lo, hi (population counts), nodes and fps packed; at most TILE fingerprints each."""
+    """part, tile, nodes and fps packed, least and largest population counts; at most TILE fingerprints each, stored."""
     counts = [F.bit_count(F.col("fp").bitwiseAND(F.lit(int(m.astype(np.int64))))) for m in MASKS[[0, 1, 3, 5]]]
     keys = [f"c{i}" for i in range(len(counts))]
     ordered = distinct.select("node", "fp", *(c.alias(k) for c, k in zip(counts, keys, strict=True)))
@@ -120,7 +127,8 @@ def _tiles(distinct: DataFrame, parts: int) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tile = TaskContext.get().partitionId() << 32
+        part = TaskContext.get().partitionId()
+        tile = part << 32
 
         def cut():
             nonlocal tile
@@ -136,51 +144,64 @@ def _tiles(distinct: DataFrame, parts: int) -> DataFrame:
 
         def one(nodes, fps):
             c = _counts(fps.view(np.uint64))
-            return tile, c.min(axis=0).astype(np.int16).tobytes(), c.max(axis=0).astype(np.int16).tobytes(), int(c[:, 0].min()), int(c[:, 0].max()), nodes.tobytes(), fps.tobytes()
+            return part, tile, nodes.tobytes(), fps.tobytes(), *c.min(axis=0).tolist(), *c.max(axis=0).tolist()
 
         yield from emit(cut(), TILES)
 
     return stored(ordered.mapInArrow(run, TILES))
 
 
-TILES = "tile long, lo binary, hi binary, least int, most int, nodes binary, fps binary"
+def _cells(tiles: DataFrame, radius: int) -> DataFrame:
+    """a, b: pairs of groups of tiles, a <= b, whose population counts do not differ by more than the radius."""
+    boxes = tiles.groupBy("group").agg(*(F.min(c).alias(c) for c in LO), *(F.max(c).alias(c) for c in HI))
+    a = boxes.select(F.col("group").alias("a"), *(F.col(c).alias(f"a_{c}") for c in LO + HI), F.explode(F.sequence(F.col("lo0") - radius, F.col("hi0") + radius)).alias("bits"))
+    b = boxes.select(F.col("group").alias("b"), *(F.col(c).alias(f"b_{c}") for c in LO + HI), F.explode(F.sequence("lo0", "hi0")).alias("bits"))
+    gap = [F.greatest(F.lit(0), F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}")) for k in range(len(MASKS))]
+    near = [sum((gap[k] for k in level[1:]), gap[level[0]]) <= radius for level in LEVELS]
+    pairs = a.join(b, "bits").filter("a <= b")
+    for condition in near:
+        pairs = pairs.filter(condition)
+    return pairs.select("a", "b").distinct()
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(node, fp), fp distinct -> (u, v): node pairs that link the same nodes as all pairs within radius do."""
-    prepare(distinct.sparkSession)
-    tiles = _tiles(distinct, distinct.count() // TILE + 1)
-    head = tiles.select("tile", "lo", "hi", "least", "most")
-    a = head.select(F.col("tile").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(F.col("least") - radius, F.col("most") + radius)).alias("bits"))
-    b = head.select(F.col("tile").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence("least", "most")).alias("bits"))
-    pairs = a.join(b, "bits").filter("a <= b").drop("bits").distinct()
-
-    def close(batches):
-        for batch in batches:
-            boxes = [np.array([np.frombuffer(x, np.int16) for x in batch.column(i).to_pylist()]).reshape(-1, len(MASKS)) for i in (2, 3, 4, 5)]
-            near = _apart(*boxes) <= radius
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+    """(node, fp), fp distinct and not null -> (u, v): node pairs that link the same nodes as all pairs within radius do.
 
-    pairs = pairs.select("a", "b", "lo_a", "hi_a", "lo_b", "hi_b").mapInArrow(close, "a long, b long")
-    body = tiles.select("tile", "nodes", "fps")
-    pairs = (
-        pairs.join(body.toDF("a", "nodes_a", "fps_a"), "a")
-        .join(body.toDF("b", "nodes_b", "fps_b"), "b")
-        .repartition(F.col("a"), F.col("b"))
-        .select("a", "b", "nodes_a", "fps_a", "nodes_b", "fps_b")
-    )
-
-    def compare(batches):
-        def found():
-            for x, y, nodes_a, fps_a, nodes_b, fps_b in rows_of(batches):
-                left = np.frombuffer(fps_a, np.uint64)
-                nodes = np.frombuffer(nodes_a if x == y else nodes_a + nodes_b, np.int64)
-                for i, j in forest(left, None if x == y else np.frombuffer(fps_b, np.uint64), radius):
-                    yield int(nodes[i]), int(nodes[j])
-
-        yield from emit(found(), "u long, v long", 100_000)
-
-    return pairs.mapInArrow(compare, "u long, v long")
+    Other columns are ignored; an empty table gives no pairs.
+    """
+    prepare(distinct.sparkSession)
+    parts = distinct.count() // TILE + 1
+    side = max(1, min(SIDE, parts // GROUPS))
+    tiles = _tiles(distinct, parts).withColumn("group", F.floor(F.col("part") / side))
+    cells = _cells(tiles, radius)
+    body = tiles.select("group", "tile", "nodes", "fps", F.array(*LO).alias("lo"), F.array(*HI).alias("hi"))
+    left = cells.join(body, cells["a"] == body["group"]).withColumn("second", F.lit(False))
+    right = cells.filter("a < b").join(body, F.col("b") == body["group"]).withColumn("second", F.lit(True))
+
+    def compare(group: pa.Table) -> pa.Table:
+        """All near pairs of tiles of a cell; a diagonal cell's tiles among themselves."""
+        fps = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["fps"]]
+        lo, hi = (np.array(group[c].to_pylist(), np.int64) for c in ("lo", "hi"))
+        nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["nodes"]])
+        first = np.cumsum([0, *map(len, fps)])
+        second = np.array(group["second"].to_pylist())
+        root = np.arange(len(nodes))
+        pairs = [(i, j) for i in np.flatnonzero(~second) for j in np.flatnonzero(second)] if second.any() else [(i, j) for i in range(len(fps)) for j in range(i, len(fps))]
+        for i, j in pairs:
+            if i != j and _apart(lo[i], hi[i], lo[j], hi[j]) > radius:
+                continue
+            x, y = forest(fps[i], None if i == j else fps[j], radius)
+            if len(x):
+                place = np.arange(first[i], first[i + 1])
+                place = place if i == j else np.append(place, np.arange(first[j], first[j + 1]))
+                _join(root, place[x], place[y])
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": nodes[linked], "v": nodes[root[linked]]})
+
+    columns = ["a", "b", "second", "fps", "nodes", "lo", "hi"]
+    met = left.select(*columns).unionByName(right.select(*columns))
+    groups = (parts - 1) // side + 1
+    return met.repartition(min(groups * (groups + 1) // 2, 100_000), "a", "b").groupBy("a", "b").applyInArrow(lambda t: compare(t), "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -204,6 +225,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input's rows, all columns, with one document of each group of near copies: the smallest doc_id.
 
     Rows without a doc_id stay. Rows that share a doc_id are one document, which goes if all of them would.
+    Null and empty texts, and those without a word, are near copies of each other. Other columns pass through
+    whatever their names are; an empty table gives an empty result.
     """
     groups = near_groups(docs, id_col, text_col, radius)
     gone = groups.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone")

@@ -112,9 +112,11 @@ def test_near_groups(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0 == simhash.near_dedup(empty).count()
 
 
-def test_links_over_tiles(spark, monkeypatch):
-    """Chains of links within and across tiles, against all pairs."""
+@pytest.mark.parametrize("groups", [24, 2])
+def test_links_over_tiles(spark, monkeypatch, groups):
+    """Chains of links within and across tiles and cells, against all pairs."""
     monkeypatch.setattr(simhash, "TILE", 50)
+    monkeypatch.setattr(simhash, "GROUPS", groups)
     rng = random.Random(8)
     prints = set()
     while len(prints) < 300:
@@ -225,6 +227,22 @@ def test_top_k(spark, monkeypatch):
     assert sorted(big)[-1]["score"] <= 2**63 - 1 and len(big) == 4
 
 
+def test_lists_are_read_in_part():
+    """On vectors with structure the bounds meet before the lists end; a known k-th score ends it sooner; results are exact."""
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.exponential(40, (2000, 12)) ** 2)
+    lists, deep = topk.Lists(x), 0
+    for i in range(0, 400, 20):
+        at, scores, depth = topk.search(lists, x[i], np.array([i]), 5)
+        want = x @ x[i]
+        want[i] = -1
+        best = np.argsort(-want, kind="stable")[:5]
+        assert set(best) <= set(at) and dict(zip(at.tolist(), scores.tolist()))[best[0]] == want[best[0]]
+        deep += depth
+        assert len(topk.search(lists, x[i], np.array([i]), 5, float(want.max()) + 1)[0]) == 0
+    assert deep < 0.6 * 20 * 2000
+
+
 def test_token_counts(docs, rows, empty):
     path = queries.vocabulary()
     t = tokencount.load(path)
