@@ -13,27 +13,30 @@ from lakescope.llm import common, exactdedup, langid, mixing, packing, queries,
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; texts without letters go."""
+    """Documents in a learned language; null texts, texts without letters and longer texts like no language go.
+
+    Where no language can be learned, texts with letters stay. An empty table stays empty, extra columns stay.
+    """
     return langid.identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
+    """Of equal texts (null equals empty), the row with the largest doc_id; null ids are below all. Extra columns stay."""
     return exactdedup.exact_dedup(docs, keep="largest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints' documents, the one with the smallest doc_id."""
+    """Of linked fingerprints' documents, the one with the smallest doc_id; rows without an id stay. Extra columns stay."""
     return simhash.near_dedup(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate says."""
+    """Documents as often as their source's rate says, null sources a source; a repeated document is a repeated row."""
     return mixing.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their places in training sequences."""
+    """Every row's pieces with their places in training sequences; null text is empty, repeated rows are packed repeatedly."""
     return packing.packed(docs, queries.vocabulary())
 
 
@@ -43,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. Each stage's output goes when the next one's is written; the last one's stays for its reader."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            common.removed(spark, f"{folder}/{k - 1}")
     return docs
