@@ -23,6 +23,8 @@ FAN = 8
 RUN, RANGE = 250_000, 250_000
 #: Groups of more rows than this, of which there are at most rows / HOT, are met by broadcast.
 HOT, MOST_HOT = 10_000, 100_000
+#: Groups up to which all of them are broadcast (under 64 MB), so that no row moves.
+FEW = 500_000
 #: The digest, and what verifies it: the length and a second hash of the text.
 KEYS = ["digest", "check", "n_bytes"]
 RUNS = "node long, range long, body binary"
@@ -141,9 +143,19 @@ def merged(rows: DataFrame, keep: str = "smallest") -> DataFrame:
     return stored(runs.select("body").mapInArrow(opened, MERGED))
 
 
-def frequent(groups: DataFrame, total: int) -> DataFrame:
-    """The groups so large that their rows must not meet in one task; at most MOST_HOT, so they can be broadcast."""
-    return F.broadcast(groups.filter(F.col("n") > max(HOT, total // MOST_HOT)))
+def met(rows: DataFrame, groups: DataFrame, stays=None) -> DataFrame:
+    """rows with KEYS, left-joined to their groups; of those that match, only the ones for which stays holds (None: all).
+
+    Up to FEW groups are broadcast, after they were counted. Of more, those so large that their rows must not
+    meet in one task are broadcast (at most MOST_HOT), and the others are met by a shuffled join.
+    """
+    size = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    kept = (lambda frame: frame.filter(F.col("n").isNull() | stays)) if stays is not None else (lambda frame: frame)
+    if size[0] <= FEW:
+        return kept(rows.join(F.broadcast(groups), KEYS, "left"))
+    hot = F.broadcast(groups.filter(F.col("n") > max(HOT, size[1] // MOST_HOT)))
+    rest = rows.join(hot.select(*KEYS), KEYS, "left_anti").join(groups.hint("shuffle_merge"), KEYS, "left")
+    return kept(rows.join(hot, KEYS)).unionByName(kept(rest))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -155,9 +167,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = digests(docs, id_col, text_col)
     groups = merged(rows, keep).filter("n > 1").select(*KEYS, "keep", F.col("uid").alias("best"), "n")
-    hot = frequent(groups, rows.count())
-    met = rows.join(hot, KEYS).unionByName(rows.join(hot.select(*KEYS), KEYS, "left_anti").join(groups, KEYS, "left"))
-    return met.select(
+    return met(rows, groups).select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -171,16 +181,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text equals empty text, a null doc_id stands below all others. Rows that share doc_id and text count as
     one document: one stays. Columns pass through whatever their names are; an empty table gives an empty result.
-    Copies of very frequent texts go where they are read; only then do rows meet the groups.
+    Where groups are few enough to be broadcast, texts are read and written where they lie.
     """
-    groups = merged(digests(docs, id_col, text_col), keep).filter("n > 1").select(*KEYS, "keep", "same", "n").cache()
-    hot = frequent(groups, groups.agg(F.sum("n")).first()[0] or 0)
+    groups = merged(digests(docs, id_col, text_col), keep).filter("n > 1").select(*KEYS, "keep", "same", "n")
     t = text_of(text_col)
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), digest_of(t).alias("digest"), F.xxhash64(t).alias("check"), F.octet_length(t).cast("long").alias("n_bytes"))
-    stays = F.col("n").isNull() | F.col("id").eqNullSafe(F.col("keep"))
-    few = marked.join(hot, KEYS, "left").filter(stays).drop("keep", "same", "n")
-    met = few.join(groups, KEYS, "left").filter(stays)
+    out = met(marked, groups, F.col("id").eqNullSafe(F.col("keep")))
     if groups.filter("same > 1").isEmpty():
-        return met.select("row.*")
-    once = met.filter("same > 1").dropDuplicates(KEYS)
-    return met.filter("same is null or same = 1").unionByName(once).select("row.*")
+        return out.select("row.*")
+    once = out.filter("same > 1").dropDuplicates(KEYS)
+    return out.filter("same is null or same = 1").unionByName(once).select("row.*")

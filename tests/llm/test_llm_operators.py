@@ -65,14 +65,14 @@ def test_exact_dedup(docs, rows, empty):
     assert exactdedup.exact_groups(empty).count() == 0 == exactdedup.exact_dedup(empty).count()
 
 
-@pytest.mark.parametrize(("run", "range_", "hot"), [(3, 4, 1), (1, 1000, 10_000), (1000, 1, 0)])
-def test_exact_dedup_in_many_runs(docs, monkeypatch, run, range_, hot):
+@pytest.mark.parametrize(("run", "range_", "hot", "few"), [(3, 4, 1, 0), (1, 1000, 10_000, 0), (1000, 1, 0, 1000)])
+def test_exact_dedup_in_many_runs(docs, monkeypatch, run, range_, hot, few):
     """Small runs, many rounds and ranges, and groups met by broadcast give what one run gives."""
     def results():
         return [sorted(map(repr, f.collect())) for f in (exactdedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "text_sha256"), exactdedup.exact_dedup(docs).select("doc_id", F.coalesce("text", F.lit(""))))]
 
     whole = results()
-    for name, value in (("RUN", run), ("RANGE", range_), ("HOT", hot)):
+    for name, value in (("RUN", run), ("RANGE", range_), ("HOT", hot), ("FEW", few)):
         monkeypatch.setattr(exactdedup, name, value)
     assert results() == whole
 
