@@ -10,6 +10,7 @@ of one length, so a plan's size is bounded by the capacity and not by the number
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROWS, buckets_for, chunked, emit, gathered, pack, prepare, rows_of, spans, text_of, unpack
-from .tokencount import Units, drops_blanks, load
+from .tokencount import MARK, Units, drops_blanks, load, splitter
 
 CAPACITY, GROUPS, SMALL = 4096, 48, 8
 END = 1
+#: Pre-tokens whose ids a worker keeps.
+KEEP = 100_000
 LENGTHS = "chunk long, length long, n long"
 PIECES = "row string, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -173,29 +176,51 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = G
     return plan
 
 
-def encoded(t, texts: list[bytes], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of texts, one text after another, and how many each has.
+class Encoder:
+    """The ids of texts. A tokenizer that drops white space sees each distinct pre-token of a chunk once, another whole texts.
 
-    The tokenizer sees each distinct run between ASCII white space once; whole: each text, for tokenizers that need it.
+    The ids of the first KEEP pre-tokens are kept for further chunks; the frequent ones are among them.
     """
-    runs, parts = Units(), []
-    if whole:
-        names, flat, words = texts, np.arange(len(texts)), np.ones(len(texts), np.int64)
-    else:
+
+    def __init__(self, path: str):
+        self.t, self.path = load(path), path
+        self.whole = not drops_blanks(self.t)
+        self.kept: dict[str, list[int]] = {}
+
+    def ids(self, name: str) -> list[int]:
+        got = self.kept.get(name)
+        if got is None:
+            got = [self.t.token_to_id(name[1:])] if name[0] == MARK else [x.id for x in self.t.model.tokenize(name)]
+            if len(self.kept) < KEEP:
+                self.kept[name] = got
+        return got
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after another, and how many each has."""
+        if self.whole:
+            lists = [e.ids for e in self.t.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        runs = Units()
         parts = [runs.numbers(x) for x in texts]
-        names, flat, words = list(runs.at), np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-    sizes, ids = np.zeros(len(names), np.int64), []
-    for i in range(0, len(names), 4096):
-        inner: list[int] = []
-        for k, e in enumerate(t.encode_batch_fast([w.decode("utf-8", "replace") for w in names[i : i + 4096]], add_special_tokens=False), i):
-            got = e.ids
-            sizes[k] = len(got)
-            inner += got
-        ids.append(np.array(inner, np.uint32))
-    ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    out = ids[spans((np.cumsum(sizes) - sizes)[flat], sizes[flat])]
-    sums, ends = np.append(0, np.cumsum(sizes[flat])), np.cumsum(words)
-    return out, sums[ends] - sums[ends - words]
+        words, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+        names, inner, sizes = splitter(self.path).split(list(runs.at))
+        lists = [self.ids(w) for w in names]
+        ids, per = np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        # Ids by run, from those by pre-token; then by text, from those by run.
+        by_run = ids[spans((np.cumsum(per) - per)[inner], per[inner])]
+        lengths = _sums(per[inner], sizes)
+        return by_run[spans((np.cumsum(lengths) - lengths)[flat], lengths[flat])], _sums(lengths[flat], words)
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive parts of values, of so many values each."""
+    sums, ends = np.append(0, np.cumsum(values)), np.cumsum(counts)
+    return sums[ends] - sums[ends - counts]
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -209,7 +234,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     on the driver from the histogram of lengths, of at most capacity entries; chunks learn where their ranks begin.
     """
     spark = prepare(docs.sparkSession)
-    n, whole = buckets_for(docs, text_col), not drops_blanks(load(tokenizer))
+    n = buckets_for(docs, text_col)
 
     def pieces(lengths):
         for i, size in enumerate(lengths.tolist()):
@@ -217,7 +242,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 yield i, piece, start, min(capacity, size - start)
 
     def encode(rows):
-        flat, lengths = encoded(load(tokenizer), [r[1] for r in rows], whole)
+        flat, lengths = encoder(tokenizer).encode([r[1] for r in rows])
         flat = flat.astype(np.uint16) if flat.max(initial=0) < 65536 else flat
         return ([r[0] for r in rows], lengths, flat), {0: np.unique([p[3] for p in pieces(lengths + 1)], return_counts=True)}
 

@@ -9,11 +9,14 @@ suits tokenizers that drop white space. Special strings are cut out first, as th
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,47 +89,84 @@ def distinct(messages: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     return list(at), places
 
 
-def pre_tokens(t, runs: list[bytes], most: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct pre-tokens of runs, each run's pre-tokens by number, one run after another, and how many each has."""
-    at: dict[str, int] = {}
-    special = [a.content for a in t.get_added_tokens_decoder().values()]
-    cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-    normal = t.normalizer.normalize_str if t.normalizer else str
-    before = t.pre_tokenizer.pre_tokenize_str if t.pre_tokenizer else lambda s: [(s, (0, len(s)))] if s else []
+class Splitter:
+    """The pre-tokens of runs, as a tokenizer's normalizer and pre-tokenizer make them.
 
-    def alone(run: str) -> list[str]:
+    Runs of printable ASCII go through the tokenizer's own pattern at once, if its parts do nothing else to such
+    runs than fold case and cut by one pattern; all others go through the library.
+    """
+
+    def __init__(self, t):
+        self.normal = t.normalizer.normalize_str if t.normalizer else str
+        self.before = t.pre_tokenizer.pre_tokenize_str if t.pre_tokenizer else lambda s: [(s, (0, len(s)))] if s else []
+        special = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        parts = json.loads(t.to_str())
+        normal, before = (self._parts(parts[k], inner) for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        self.fold, self.pattern = {"type": "Lowercase"} in normal, None
+        if all(x == blanks or x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") for x in normal) and [x["type"] for x in before] == ["Split", "ByteLevel"]:
+            cut, level = before
+            if (cut["behavior"], cut["invert"]) == ("Removed", True) and "Regex" in cut["pattern"] and not (level["add_prefix_space"] or level["use_regex"]):
+                self.pattern = regex.compile("\n|" + cut["pattern"]["Regex"])
+
+    @staticmethod
+    def _parts(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    def alone(self, run: str) -> list[str]:
+        """One run, special strings included."""
         out, done = [], 0
-        for m in cut.finditer(run) if cut else ():
-            out += [w for w, _ in before(normal(run[done : m.start()]))] + [MARK + m[0]]
+        for m in self.special.finditer(run) if self.special else ():
+            out += [w for w, _ in self.before(self.normal(run[done : m.start()]))] + [MARK + m[0]]
             done = m.end()
-        return out + [w for w, _ in before(normal(run[done:]))]
-
-    flat: list[int] = []
-    sizes = np.zeros(len(runs), np.int64)
-    for i in range(0, len(runs), most):
-        texts = [r.decode("utf-8", "replace") for r in runs[i : i + most]]
-        odd = {k for k, w in enumerate(texts) if len(w.split()) != 1 or cut and cut.search(w)}
-        plain = normal(" ".join(w for k, w in enumerate(texts) if k not in odd))
-        found, parts, one = before(plain), {}, plain.split(" ")
-        if len(one) != len(texts) - len(odd):  # the normalizer made blanks
-            odd = set(range(len(texts)))
-        else:
-            ends = np.cumsum([len(w) + 1 for w in one])
-            of = np.searchsorted(ends, np.fromiter((a for _, (a, _) in found), np.int64, len(found)), "right")
-            counts = np.bincount(of, minlength=len(one))
-        if not odd:
-            flat += [at.setdefault(w, len(at)) for w, _ in found]
-            sizes[i : i + len(texts)] = counts
-            continue
-        parts = {k: alone(texts[k]) for k in odd}
-        names, done, k = [w for w, _ in found], 0, 0
-        for j in range(len(texts)):
-            if j not in odd:
-                parts[j] = names[done : done + int(counts[k])]
-                done, k = done + int(counts[k]), k + 1
-            flat += [at.setdefault(w, len(at)) for w in parts[j]]
-            sizes[i + j] = len(parts[j])
-    return list(at), np.array(flat, np.int64), sizes
+        return out + [w for w, _ in self.before(self.normal(run[done:]))]
+
+    def some(self, runs: list[str]) -> list[list[str]]:
+        """Runs together, where the normalizer leaves one blank between two; else one by one."""
+        plain = self.normal(" ".join(runs))
+        one = plain.split(" ")
+        if len(one) != len(runs):
+            return [self.alone(w) for w in runs]
+        out: list[list[str]] = [[] for _ in runs]
+        ends, k = list(accumulate(len(w) + 1 for w in one)), 0
+        for w, (a, _) in self.before(plain):
+            while a >= ends[k]:
+                k += 1
+            out[k].append(w)
+        return out
+
+    def split(self, runs: list[bytes], most: int = 10_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pre-tokens, each run's by number, one run after another, and how many each run has."""
+        texts = [r.decode("utf-8", "replace") for r in runs]
+        mixed = self.special is not None and self.special.search("\n".join(texts)) is not None
+        quick = [self.pattern is not None and w.isascii() and w.isprintable() and not (mixed and self.special.search(w)) for w in texts]
+        at, sizes = {"\n": 0}, np.zeros(len(texts), np.int64)
+        fast = np.flatnonzero(quick)
+        joined = "\n".join([w for w, q in zip(texts, quick, strict=True) if q])
+        found = self.pattern.findall(joined.lower() if self.fold else joined) if len(fast) else []
+        numbers = np.fromiter([at.setdefault(w, len(at)) for w in found], np.int64, len(found))
+        edges = np.append(np.flatnonzero(numbers == 0), len(numbers))
+        sizes[fast] = np.diff(edges, prepend=-1)[: len(fast)] - 1
+        slow = np.flatnonzero(~np.array(quick, bool))
+        rest: list[int] = []
+        for i in range(0, len(slow), most):
+            here = slow[i : i + most]
+            odd = [len(texts[k].split()) != 1 or mixed and self.special.search(texts[k]) is not None for k in here]
+            plain = iter(self.some([texts[k] for k, o in zip(here, odd, strict=True) if not o]) if not all(odd) else [])
+            for k, o in zip(here, odd, strict=True):
+                names = self.alone(texts[k]) if o else next(plain)
+                sizes[k] = len(names)
+                rest += [at.setdefault(w, len(at)) for w in names]
+        flat, starts = np.zeros(int(sizes.sum()), np.int64), np.cumsum(sizes) - sizes
+        flat[spans(starts[fast], sizes[fast])] = numbers[numbers > 0]
+        flat[spans(starts[slow], sizes[slow])] = rest
+        return list(at)[1:], flat - 1, sizes
+
+
+@lru_cache(maxsize=4)
+def splitter(path: str) -> Splitter:
+    return Splitter(load(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -142,7 +182,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", keys:
     def ask(rows):
         runs = Units()
         parts = [runs.numbers(text) for _, text in rows]
-        names, inner, sizes = pre_tokens(load(tokenizer), list(runs.at))
+        names, inner, sizes = splitter(tokenizer).split(list(runs.at))
         flat, words = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         doc = np.repeat(np.repeat(np.arange(len(rows)), words), sizes[flat])
         pairs, freq = np.unique(doc << 32 | inner[spans((np.cumsum(sizes) - sizes)[flat], sizes[flat])], return_counts=True)
