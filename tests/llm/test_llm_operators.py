@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakescope.llm import components as components_module
 from lakescope.llm import exactdedup, html, katz, langid, mixing, packing, queries, simhash, substring, tokencount, topk
 
 DOC = "doc_id long, text string, lang string, source string"
@@ -112,11 +113,12 @@ def test_near_groups(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0 == simhash.near_dedup(empty).count()
 
 
-@pytest.mark.parametrize("groups", [24, 2])
-def test_links_over_tiles(spark, monkeypatch, groups):
+@pytest.mark.parametrize(("groups", "local"), [(24, 1 << 20), (2, 0)])
+def test_links_over_tiles(spark, monkeypatch, groups, local):
     """Chains of links within and across tiles and cells, against all pairs."""
     monkeypatch.setattr(simhash, "TILE", 50)
     monkeypatch.setattr(simhash, "GROUPS", groups)
+    monkeypatch.setattr(components_module, "LOCAL", local)
     rng = random.Random(8)
     prints = set()
     while len(prints) < 300:
