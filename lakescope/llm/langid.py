@@ -25,7 +25,7 @@ UNDECIDED = "und"
 #: Cosine below which a text of at least SURE characters counts as being in no learned language; chance gives about 0.03.
 LEAST, SURE = 0.05, 64
 #: N-grams and texts of one matrix product, and n-grams held at once; a longer text is read in slices.
-BLOCK, TEXTS, HELD = 4096, 64, 1 << 19
+BLOCK, TEXTS, HELD = 4096, 64, 1 << 18
 HAS_LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"\P{L}+")
 
@@ -33,7 +33,7 @@ NOT_LETTERS = regex.compile(r"\P{L}+")
 class Profiles:
     """Vectors of letters and n-grams; n-gram vectors are kept until there are many, then made anew."""
 
-    def __init__(self, dim: int = DIM, gram: int = GRAM, seed: int = SEED, keep: int = 30_000):
+    def __init__(self, dim: int = DIM, gram: int = GRAM, seed: int = SEED, keep: int = 16_000):
         self.dim, self.gram, self.seed, self.keep = dim, gram, seed, keep
         self.letters: dict[int, np.ndarray] = {}
         self.grams: dict[int, int] = {}
