@@ -9,6 +9,7 @@ of one length, so a plan's size is bounded by the capacity and not by the number
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from .tokencount import MARK, Units, drops_blanks, load, splitter
 CAPACITY, GROUPS, SMALL = 4096, 48, 8
 END = 1
 #: Pre-tokens whose ids a worker keeps.
-KEEP = 100_000
+KEEP = 200_000
 LENGTHS = "chunk long, length long, n long"
 PIECES = "row string, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -185,15 +186,19 @@ class Encoder:
     def __init__(self, path: str):
         self.t, self.path = load(path), path
         self.whole = not drops_blanks(self.t)
-        self.kept: dict[str, list[int]] = {}
-
-    def ids(self, name: str) -> list[int]:
-        got = self.kept.get(name)
-        if got is None:
-            got = [self.t.token_to_id(name[1:])] if name[0] == MARK else [x.id for x in self.t.model.tokenize(name)]
-            if len(self.kept) < KEEP:
-                self.kept[name] = got
-        return got
+        self.kept: dict[str, bytes] = {}
+
+    def ids(self, names: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, each as its 32-bit numbers."""
+        kept, tokenize, out = self.kept, self.t.model.tokenize, []
+        for name in names:
+            got = kept.get(name)
+            if got is None:
+                got = array("I", [self.t.token_to_id(name[1:])] if name[0] == MARK else [x.id for x in tokenize(name)]).tobytes()
+                if len(kept) < KEEP:
+                    kept[name] = got
+            out.append(got)
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after another, and how many each has."""
@@ -204,8 +209,8 @@ class Encoder:
         parts = [runs.numbers(x) for x in texts]
         words, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
         names, inner, sizes = splitter(self.path).split(list(runs.at))
-        lists = [self.ids(w) for w in names]
-        ids, per = np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        found = self.ids(names)
+        ids, per = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
         # Ids by run, from those by pre-token; then by text, from those by run.
         by_run = ids[spans((np.cumsum(per) - per)[inner], per[inner])]
         lengths = _sums(per[inner], sizes)

@@ -89,11 +89,19 @@ def distinct(messages: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     return list(at), places
 
 
+#: Characters from here on are left to the library. Below, letters and digits are the same in every version of Unicode.
+PLAIN = "\u0130"
+#: Byte-level tokenizers spell printable bytes as themselves and the others, in order, by characters from 256 on.
+_others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+SPELT = {b: 256 + k for k, b in enumerate(_others)}
+
+
 class Splitter:
     """The pre-tokens of runs, as a tokenizer's normalizer and pre-tokenizer make them.
 
-    Runs of printable ASCII go through the tokenizer's own pattern at once, if its parts do nothing else to such
-    runs than fold case and cut by one pattern; all others go through the library.
+    Printable runs of Latin letters, digits and signs (all below PLAIN) go through the tokenizer's own pattern at
+    once, if its parts do nothing else to such runs than compose, fold case, cut by one pattern and spell bytes
+    as characters; composing leaves such runs as they are. All others go through the library.
     """
 
     def __init__(self, t):
@@ -105,7 +113,7 @@ class Splitter:
         normal, before = (self._parts(parts[k], inner) for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
         blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
         self.fold, self.pattern = {"type": "Lowercase"} in normal, None
-        if all(x == blanks or x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") for x in normal) and [x["type"] for x in before] == ["Split", "ByteLevel"]:
+        if all(x == blanks or x["type"] in ("NFC", "Lowercase") for x in normal) and [x["type"] for x in before] == ["Split", "ByteLevel"]:
             cut, level = before
             if (cut["behavior"], cut["invert"]) == ("Removed", True) and "Regex" in cut["pattern"] and not (level["add_prefix_space"] or level["use_regex"]):
                 self.pattern = regex.compile("\n|" + cut["pattern"]["Regex"])
@@ -140,12 +148,13 @@ class Splitter:
         """The distinct pre-tokens, each run's by number, one run after another, and how many each run has."""
         texts = [r.decode("utf-8", "replace") for r in runs]
         mixed = self.special is not None and self.special.search("\n".join(texts)) is not None
-        quick = [self.pattern is not None and w.isascii() and w.isprintable() and not (mixed and self.special.search(w)) for w in texts]
+        quick = [self.pattern is not None and (w.isascii() or max(w) < PLAIN) and w.isprintable() and not (mixed and self.special.search(w)) for w in texts]
         at, sizes = {"\n": 0}, np.zeros(len(texts), np.int64)
         fast = np.flatnonzero(quick)
         joined = "\n".join([w for w, q in zip(texts, quick, strict=True) if q])
         found = self.pattern.findall(joined.lower() if self.fold else joined) if len(fast) else []
         numbers = np.fromiter([at.setdefault(w, len(at)) for w in found], np.int64, len(found))
+        at = {w if w.isascii() else w.encode().decode("latin-1").translate(SPELT): k for w, k in at.items()}
         edges = np.append(np.flatnonzero(numbers == 0), len(numbers))
         sizes[fast] = np.diff(edges, prepend=-1)[: len(fast)] - 1
         slow = np.flatnonzero(~np.array(quick, bool))

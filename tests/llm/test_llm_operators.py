@@ -255,6 +255,21 @@ def test_token_counts(docs, rows, empty):
         tokencount.token_counts(empty, queries.vocabulary("byte_bpe_50k.json"))
 
 
+def test_pre_tokens_of_odd_runs():
+    """Every character below the plain limit and many above, alone and among others, against the library."""
+    path = queries.vocabulary()
+    t, rng = tokencount.load(path), random.Random(4)
+    singles = [chr(c) for c in range(0x21, 0x3000) if chr(c).split()]
+    runs = singles + ["".join(rng.choice(singles[:300]) for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["".join(rng.choice(singles) for _ in range(5)) for _ in range(2000)]
+    encoder = packing.Encoder(path)
+    for odd in ([], ["a<|endoftext|>b", "<|startoftext|>"]):
+        texts = [w.encode() for w in runs + odd]
+        ids, sizes = encoder.encode(texts)
+        want = [t.encode(w, add_special_tokens=False).ids for w in runs + odd]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+
+
 def test_packing(docs, rows, empty):
     path, capacity = queries.vocabulary(), 256
     t = tokencount.load(path)
