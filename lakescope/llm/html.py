@@ -2,13 +2,15 @@
 
 A tree is built with the tags that HTML implies; what a browser would not show is left out; the rest is laid
 out as text: blocks on lines of their own, paragraphs and headings set apart, lists with markers and indents,
-preformatted text as it stands, and the cells of a table in aligned columns.
+preformatted text as it stands, and the cells of a table in aligned columns. Visibility is read from elements,
+their attributes and inline styles; rules of style sheets are not evaluated.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -32,17 +34,23 @@ ENDS = {
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 SCOPE = frozenset(["table", "td", "th", "caption", "button", "object"])
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
-#: A column is aligned up to this width. Calls that the layout makes for a level of nesting, at most.
+GONE = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
+#: A column takes no more than this width from its cells; what is wider ends its line, and later cells go on below,
+#: at their columns. Calls that the layout makes for a level of nesting, at most.
 COLUMN, CALLS = 40, 6
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """An element. seen: whether its own text shows, by the visibility that it sets or takes from its parent."""
 
-    def __init__(self, tag: str, attrs: dict):
+    __slots__ = ("tag", "attrs", "children", "seen")
+
+    def __init__(self, tag: str, attrs: dict, seen: bool = True):
         self.tag, self.attrs, self.children = tag, attrs, []
+        own = VISIBILITY.findall(attrs.get("style", ""))
+        self.seen = own[-1].lower() in ("visible", "initial") if own else seen
 
 
 class Tree(HTMLParser):
@@ -89,7 +97,7 @@ class Tree(HTMLParser):
             self.end({"p"}, SCOPE)
         if tag == "a":
             self.end({"a"}, SCOPE | BLOCKS)
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.open[-1].seen)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.push(node)
@@ -121,7 +129,7 @@ class Tree(HTMLParser):
 
 def visible(node: Node) -> bool:
     a = node.attrs
-    return not (node.tag in HIDDEN or "hidden" in a and a["hidden"] != "until-found" or UNSEEN.search(a.get("style", "")) or node.tag == "dialog" and "open" not in a)
+    return not (node.tag in HIDDEN or "hidden" in a and a["hidden"] != "until-found" or GONE.search(a.get("style", "")) or node.tag == "dialog" and "open" not in a)
 
 
 class Flow:
@@ -165,6 +173,8 @@ class Flow:
 def lay(node: Node, flow: Flow, pre: bool = False) -> None:
     for child in node.children:
         if isinstance(child, str):
+            if not node.seen:
+                continue
             if pre:
                 first, *rest = child.replace("\r\n", "\n").split("\n")
                 flow.parts.append(first)
@@ -184,7 +194,7 @@ def element(node: Node, flow: Flow, pre: bool) -> None:
             flow.gap = max(flow.gap, 1)
         flow.line()
     elif tag == "input":
-        if node.attrs.get("type", "").lower() in ("submit", "reset", "button"):
+        if node.seen and node.attrs.get("type", "").lower() in ("submit", "reset", "button"):
             flow.text(node.attrs.get("value", ""))
     elif tag == "select":
         options = [n for n in below(node) if n.tag == "option"]
@@ -200,16 +210,16 @@ def element(node: Node, flow: Flow, pre: bool) -> None:
                 element(n, flow, pre)
         flow.margin(0)
     elif tag == "q":
-        flow.text("“")
+        flow.text("“" if node.seen else "")
         lay(node, flow, pre)
-        flow.parts.append("”")
+        flow.parts.append("”" if node.seen else "")
     elif tag not in BLOCKS:
         lay(node, flow, pre)
     else:
         space = 1 if tag in SPACED else 0
         flow.margin(space)
         if tag == "hr":
-            flow.add(["---"])
+            flow.add(["---"] if node.seen else [])
         elif tag in ("ul", "ol", "menu", "dir"):
             flow.add(items(node))
         elif tag == "table":
@@ -250,7 +260,7 @@ def _int(text: str | None, default: int) -> int:
 
 def items(node: Node) -> list[str]:
     out, ordered = [], node.tag == "ol"
-    shown = [c for c in node.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and visible(c)]
+    shown = [c for c in node.children if isinstance(c, str) and node.seen and c.strip() or isinstance(c, Node) and visible(c)]
     step = -1 if ordered and "reversed" in node.attrs else 1
     at = _int(node.attrs.get("start"), sum(isinstance(c, Node) and c.tag == "li" for c in shown) if step < 0 else 1)
     for c in shown:
@@ -258,12 +268,13 @@ def items(node: Node) -> list[str]:
             at = _int(c.attrs.get("value"), at)
             mark = f"{at}. " if ordered else "- "
             at += step
-            lines = inside(c) or [""]
+            lines = inside(c) or [""] * c.seen
+            mark = mark if c.seen else " " * len(mark)
             out += [(mark if k == 0 else " " * len(mark) if x else "") + x for k, x in enumerate(lines)]
         elif isinstance(c, str):
             out.append(BLANK.sub(" ", c.strip()))
         else:
-            wrapped = Node("div", {})
+            wrapped = Node("div", {}, node.seen)
             wrapped.children = [c]
             out += [("  " + x if x else x) if c.tag in ("ul", "ol", "menu", "dir") else x for x in inside(wrapped)]
     return out
@@ -273,13 +284,13 @@ def rows(node: Node) -> list[str]:
     """A table's caption and rows, the cells of a column at one place; what stands outside of cells comes first."""
     before, grid, stack = [], [], [node]
     found: list[Node] = []
-    loose = Node("div", {})
+    loose = Node("div", {}, node.seen)
 
     def walk(n: Node) -> None:
         row = None
         for c in n.children:
             if isinstance(c, str):
-                if c.strip():
+                if n.seen and c.strip():
                     loose.children.append(c)
             elif not visible(c):
                 continue
@@ -289,7 +300,7 @@ def rows(node: Node) -> list[str]:
                 walk(c)
             elif c.tag in ("td", "th"):
                 if row is None:
-                    row = Node("tr", {})
+                    row = Node("tr", {}, n.seen)
                     found.append(row)
                 row.children.append(c)
             elif c.tag == "caption":
@@ -306,7 +317,7 @@ def rows(node: Node) -> list[str]:
         taken = set(held)
         for c in row.children:
             if isinstance(c, str):
-                if c.strip():
+                if row.seen and c.strip():
                     loose.children.append(c)
                 continue
             if not visible(c):
@@ -315,7 +326,7 @@ def rows(node: Node) -> list[str]:
                 at += 1
             line[at] = inside(c)
             across = max(1, min(_int(c.attrs.get("colspan"), 1), 1000))
-            down = _int(c.attrs.get("rowspan"), 1)
+            down = _int(c.attrs.get("rowspan"), 1) or len(found)  # 0: to the last row
             for k in range(at, at + across):
                 if down > 1:
                     spans[k] = min(down, 65534) - 1
@@ -325,20 +336,34 @@ def rows(node: Node) -> list[str]:
     width: dict[int, int] = {}
     for line in grid:
         for k, text in line.items():
-            width[k] = min(COLUMN, max([width.get(k, 0), *map(len, text)]))
-    used = sorted(width)
+            width[k] = min(COLUMN, max([width.get(k, 0), *map(columns, text)]))
+    place, used = {}, 0
+    for k in sorted(width):
+        place[k] = used
+        used += width[k] + 2
     out = before + inside(loose)
     for line in grid:
-        if not line:
-            continue
-        last = max(line)
-        for h in range(max(len(t) for t in line.values())):
-            cells = [(line[k][h] if k in line and h < len(line[k]) else "").ljust(width[k]) for k in used if k <= last]
-            if text := "  ".join(cells).rstrip():
+        for h in range(max((len(t) for t in line.values()), default=0)):
+            text, at = "", 0
+            for k in sorted(line):
+                cell = line[k][h] if h < len(line[k]) else ""
+                if not cell:
+                    continue
+                if at > place[k] or at and at == place[k]:  # a wider cell stands there
+                    out.append(text.rstrip())
+                    text, at = "", 0
+                text += " " * (place[k] - at) + cell
+                at = place[k] + columns(cell) + (1 if columns(cell) > width[k] else 0)
+            if text := text.rstrip():
                 out.append(text)
     return out
 
 
+def columns(text: str) -> int:
+    """The columns that a text takes: two for wide characters, none for combining ones."""
+    return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def rendered(html: str | None) -> str:
     """All visible text of a page as lines; empty for null or for a page that shows nothing."""
     if not html:

@@ -326,6 +326,29 @@ def test_html_cases():
     assert html.rendered(None) == ""
 
 
+def test_html_tables_align():
+    """Every cell of a column starts at one place, whatever stands before it; no text is lost."""
+    wide = "w" * 55
+    page = f"<table><tr><td>a<td>b<td>c<tr><td>{wide}<td>x<td>y<tr><td>日本語<td>p<td>q<tr><td>e\u0301<td>r</table>"
+    assert html.rendered(page).split("\n") == ["a" + " " * 41 + "b  c", wide, " " * 42 + "x  y", "日本語" + " " * 36 + "p  q", "e\u0301" + " " * 41 + "r"]
+    assert html.rendered("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    rng = random.Random(1)
+    for _ in range(40):
+        cells = [["".join(rng.choice("ab日é") for _ in range(rng.choice((1, 3, 12, 60)))) + f"{i}.{j}" for j in range(4)] for i in range(5)]
+        lines = html.rendered("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in cells) + "</table>").split("\n")
+        places = [{html.columns(line[: line.index(c)]) for line in lines for row in cells for k, c in enumerate(row) if k == j and c in line.split()} for j in range(4)]
+        assert all(len(p) == 1 for p in places) and sum(len(line.split()) for line in lines) == 20
+
+
+def test_html_visibility():
+    cases = {
+        "<div style='visibility:hidden'>a<p>b<p style='visibility: visible'>c</div>d": "c\n\nd", "<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>": "- b",
+        "<table style='visibility:collapse'><tr><td>a<td style='visibility:visible'>b</table>": "b", "<p style='display:none'><b style='visibility:visible'>a</b>": "", "<pre style='visibility:hidden'>a</pre>x": "x",
+    }
+    for page, text in cases.items():
+        assert html.rendered(page).strip() == text, page
+
+
 def test_html_long_and_deep():
     assert html.rendered("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert html.rendered("<p>" + "word " * 100_000).count("word") == 100_000
