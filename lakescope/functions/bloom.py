@@ -19,12 +19,16 @@ class Bloom:
     """Sized for n items at false-positive rate p: no false negatives, at least 64 bits, 1 to 30 hashes."""
 
     def __init__(self, n: int, p: float):
+        self.bits, self.hashes = self.sizes(n, p)
+        self.array, self.count = bytearray(self.bits // 8), 0
+
+    @staticmethod
+    def sizes(n: int, p: float) -> tuple[int, int]:
+        """Bits and hashes for n items at rate p."""
         if n <= 0 or not 0 < p < 1:
             raise ValueError("a filter needs n > 0 and 0 < p < 1")
-        bits = max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2))
-        self.bits = -(-bits // 64) * 64
-        self.hashes = min(30, max(1, round(self.bits / n * math.log(2))))
-        self.array, self.count = bytearray(self.bits // 8), 0
+        bits = -(-max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2)) // 64) * 64
+        return bits, min(30, max(1, round(bits / n * math.log(2))))
 
     def _places(self, item: str):
         data = item.encode()

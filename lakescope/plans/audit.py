@@ -43,8 +43,8 @@ def statistics(tables: DataFrame, now_ms: int, branch: str | None = None, doc: p
     """A row per table: what its snapshots, manifests and files add up to, its write pattern and its thresholds."""
     snaps = metadata.snapshots(tables)
     chosen = metadata.resolved(tables, branch)
-    manifests = metadata.manifests(chosen)
-    files = metadata.files(manifests)
+    manifests = metadata.manifests(chosen).cache()
+    files = metadata.files(manifests).select("table_id", "status", "content", "file_size_bytes", "record_count", "partition_key").cache()  # decoded once
     base = policy_ops.apply(tables.select("table_id", "namespace", "format_version", "current_snapshot_id"), doc)
     pattern = writepattern.patterns(snaps, sqrt_mode=sqrt_mode).select("table_id", F.col("pattern").alias("write_pattern"), "files_per_commit")
     out = stats.table_stats(base, files, manifests, snaps, now_ms, sqrt_mode).join(pattern, "table_id", "left").fillna({"write_pattern": "unknown", "files_per_commit": 0.0})

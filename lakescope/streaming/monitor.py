@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -13,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import metrics
 
+log = logging.getLogger(__name__)
+
 
 class State:
     """The latest page, or what went wrong with the latest scan."""
@@ -34,14 +37,15 @@ def scan_once(scan: Callable[[], DataFrame], state: State) -> None:
     try:
         state.set(metrics.exposition(scan()))
     except Exception as e:
+        log.exception("scan failed")
         state.set("", str(e))
 
 
 def watch(spark: SparkSession, scan: Callable[[], DataFrame], state: State, interval_ms: int, once: bool = False) -> StreamingQuery:
-    """Scan now and then every interval, as micro-batches of a ticking stream."""
+    """Scan now and then every interval, as micro-batches of a ticking stream; its first batch is the scan just made."""
     scan_once(scan, state)
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = ticks.writeStream.foreachBatch(lambda _, n: scan_once(scan, state))
+    writer = ticks.writeStream.foreachBatch(lambda _, n: scan_once(scan, state) if n else None)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{interval_ms} milliseconds")
     return writer.start()
 

@@ -16,6 +16,11 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "3g")
+        .config("spark.sql.ui.retainedExecutions", "2")
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
+        .config("spark.ui.retainedTasks", "200")
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")

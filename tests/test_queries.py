@@ -2,7 +2,7 @@
 
 import duckdb
 
-from lakescope.plans import queries
+from lakescope.plans import queries, warehouse
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,3 +16,19 @@ def test_all_partitions(spark):
     assert got == sorted(got, key=lambda r: (r[0], -r[2], r[1])) and max(r[3] for r in got) > 5
     capped = queries.QUERIES["agg10_largest_partitions"](spark, FOLDER).collect()
     assert sorted(map(tuple, capped)) == sorted(r for r in got if r[3] <= 5)
+
+
+def test_warehouse_of_documents(spark):
+    """Queries over a warehouse in the real formats, and single expressions, against their twins."""
+    names = {n for n, f in queries.QUERIES.items() if f.__module__ == warehouse.__name__}
+    assert len(names) > 20
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem", "events", "orders", "customer"):
+        con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    for name in sorted(names):
+        got = queries.QUERIES[name](spark, FOLDER)
+        columns = sorted(got.columns)
+        want = con.sql(queries.ORACLE_SQL[name])
+        assert sorted(want.columns) == columns
+        rows = want.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall()
+        assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, rows)), name

@@ -185,8 +185,9 @@ def test_monitor(spark, root):
     with pytest.raises(urllib.error.HTTPError) as e:
         urllib.request.urlopen(url + "/metrics")
     assert e.value.code == 503
-    query = monitor.watch(spark, lambda: audit.audit(spark, catalogs.LocalCatalog(root), "db.healthy"), state, 1000)
+    query = monitor.watch(spark, lambda: audit.audit(spark, catalogs.LocalCatalog(root), "db.healthy"), state, 3_600_000)
     try:
+        assert state.get()[2] is None
         assert urllib.request.urlopen(url + "/healthz").read() == b"ok"
         assert b"iceberg_table_health_score" in urllib.request.urlopen(url + "/metrics").read()
     finally:
