@@ -3,7 +3,8 @@
 A window of LENGTH words is removed if its words also start earlier: at a smaller doc_id, or earlier in the
 same document. Reference text is sharded by content: the least hash of the short word sequences in a window
 (its anchor) decides the window's shard, so equal windows share one, and anchors that occur once in the corpus
-cannot repeat and are left out. In a shard, documents' segments are streamed in document order through a suffix
+cannot repeat and are left out. Windows of an anchor that is very frequent, as one of a line in every document, are
+sharded by all their words instead. In a shard, documents' segments are streamed in document order through a suffix
 automaton of all earlier segments; where the matching statistic reaches LENGTH, the window is a repeat.
 Segments go to the shards that hold their matches instead of every automaton to every document: automata of the
 whole corpus grow with it and could not be broadcast.
@@ -20,6 +21,8 @@ from .common import ROWS, answered, buckets_for, by_bucket, chunked, gathered, p
 from .tokencount import Units
 
 LENGTH, ANCHOR = 20, 8
+#: Places of an anchor in the corpus beyond which its windows go to shards one by one, by the hash of all their words.
+HOT = 20_000
 LAST = 2**63
 OUT = "row string, n_words long, n_removed long, kept string"
 
@@ -84,7 +87,7 @@ class Chunk:
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in units.at), np.uint64, len(units.at))[flat]
+        self.words = hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in units.at), np.uint64, len(units.at))[flat]
         usable = np.maximum(self.sizes - length + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), usable)
         self.start = np.arange(int(usable.sum())) - np.repeat(np.cumsum(usable) - usable, usable)
@@ -104,12 +107,20 @@ class Chunk:
         self.anchor = gram[self.place] >> np.uint64(16)  # shared anchors of different words cost time, not results
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors, and whether each stands in several places here."""
+        """Distinct anchors, and in how many places each stands here."""
         spots = np.unique(self.place)
         order = np.argsort(self.place, kind="stable")
         values = self.anchor[order[np.searchsorted(self.place[order], spots)]]
         found, counts = np.unique(values, return_counts=True)
-        return found, counts > 1
+        return found, counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+    def whole(self, windows: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of all words of windows."""
+        at = self.first[self.doc[windows]] + self.start[windows]
+        out = np.zeros(len(windows), np.uint64)
+        for i in range(length):
+            out = (out ^ out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + self.words[at + i]
+        return out ^ out >> np.uint64(31)
 
 
 def _order(key: tuple) -> tuple[int, int]:
@@ -133,38 +144,49 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     def ask(rows):
         chunk = Chunk([r[3] for r in rows], length)
-        values, several = chunk.anchors()
+        values, places = chunk.anchors()
         plain = [b" ".join(r[3].split()) for r in rows]
-        return ([r[:3] for r in rows], plain), {b: (values[at], several[at]) for b, at in cut(values)[1]}
+        return ([r[:3] for r in rows], plain), {b: (values[at], places[at]) for b, at in cut(values)[1]}
 
     def repeated(messages):
-        values = np.concatenate([m[0] for m in messages])
-        found, counts = np.unique(np.concatenate([values, *(m[0][m[1]] for m in messages)]), return_counts=True)
-        return [np.packbits(counts[np.searchsorted(found, m[0])] > 1) for m in messages]
+        """Of each anchor, whether it stands in several places of the corpus, and whether in very many."""
+        found, at = np.unique(np.concatenate([m[0] for m in messages]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([m[1] for m in messages]), len(found))
+        out, done = [], 0
+        for values, _ in messages:
+            mine = total[at[done : done + len(values)]]
+            out.append((np.packbits(mine > 1), np.packbits(mine > HOT) if (mine > HOT).any() else None))
+            done += len(values)
+        return out
 
     def segments(state, answers):
         """Segments of windows that may repeat, by shard; equal ones once, at their first place in the chunk."""
         rows, texts = state
         chunk = Chunk(texts, length)
         values, _ = chunk.anchors()
-        may = np.zeros(len(values), bool)
+        may, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
         for b, at in cut(values)[1]:
-            may[at] = np.unpackbits(answers[b], count=len(at)).astype(bool)
+            may[at] = np.unpackbits(answers[b][0], count=len(at)).astype(bool)
+            if answers[b][1] is not None:
+                hot[at] = np.unpackbits(answers[b][1], count=len(at)).astype(bool)
         which = np.searchsorted(values, chunk.anchor)
-        hot = np.flatnonzero(may[which]) if len(values) else np.empty(0, np.int64)
-        new = np.ones(len(hot), bool)
-        new[1:] = (np.diff(hot) != 1) | (np.diff(which[hot]) != 0) | (np.diff(chunk.doc[hot]) != 0)
+        some = np.flatnonzero(may[which]) if len(values) else np.empty(0, np.int64)
+        single = hot[which[some]] if len(values) else np.zeros(0, bool)
+        new = np.ones(len(some), bool)
+        new[1:] = (np.diff(some) != 1) | (np.diff(which[some]) != 0) | (np.diff(chunk.doc[some]) != 0) | single[1:]
         starts = np.flatnonzero(new)
-        firsts, counts = hot[starts], np.diff(np.append(starts, len(hot)))
+        firsts, counts = some[starts], np.diff(np.append(starts, len(some)))
+        shards = chunk.anchor[firsts]
+        shards[single[starts]] = chunk.whole(firsts[single[starts]], length) >> np.uint64(16)
         words: tuple[int, list] = (-1, [])
         seen: dict[bytes, tuple] = {}
         removed = []
-        for at, count in zip(firsts.tolist(), counts.tolist(), strict=True):
+        for at, count, shard_of in zip(firsts.tolist(), counts.tolist(), shards.tolist(), strict=True):
             doc, start = int(chunk.doc[at]), int(chunk.start[at])
             if words[0] != doc:
                 words = doc, texts[doc].split(b" ")
             body = b" ".join(words[1][start : start + count + length - 1])
-            mine = (*_order(rows[doc][1:3]), start, doc, count, int(chunk.anchor[at]))
+            mine = (*_order(rows[doc][1:3]), start, doc, count, shard_of)
             other = seen.get(body)
             if other is None or mine < other:
                 seen[body] = mine

@@ -68,7 +68,20 @@ def without_repeats(docs, length=20):
 
 
 def katz(docs, folds=7, fold=2, k=5):
-    from lakescope.llm.katz import discounts
+    def discounts(n):
+        """Good-Turing after Katz from counts of counts; for counts where that gives no discount, an absolute one."""
+        out = [1.0] * (k + 1)
+        if n[0] == 0:
+            return out
+        share = (k + 1) * n[k] / n[0]
+        fixed = min(0.9, n[0] / (n[0] + 2 * n[1]))
+        for r in range(1, k + 1):
+            ratio = None
+            if n[r - 1] > 0 and share < 1:
+                better = (r + 1) * n[r] / n[r - 1]  # r*
+                ratio = (better / r - share) / (1 - share)
+            out[r] = ratio if ratio is not None and 0 < ratio < 1 else (r - fixed) / r
+        return out
 
     held = [zlib.crc32(str(d[0]).encode()) % folds == fold for d in docs]
     texts = [[*(w.lower() for w in words(d[1])), b""] for d in docs]

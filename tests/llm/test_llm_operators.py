@@ -371,6 +371,14 @@ def test_substring(docs, rows, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
+def test_substring_frequent_anchors(docs, monkeypatch):
+    """Windows that are sharded one by one give what segments give."""
+    whole = sorted(map(repr, substring.without_repeats(docs).collect()))
+    for hot in (0, 1, 3):
+        monkeypatch.setattr(substring, "HOT", hot)
+        assert sorted(map(repr, substring.without_repeats(docs).collect())) == whole
+
+
 def test_automaton_against_sets():
     rng = random.Random(1)
     for _ in range(60):
