@@ -19,6 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,15 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def held(frame: DataFrame) -> DataFrame:
+    """The frame on executors' disks, for several readers; lost parts are computed again, so its rows must not depend on order.
+
+    It stays until the session's cache is cleared.
+    """
+    prepare(frame.sparkSession)
+    return frame.persist(StorageLevel.DISK_ONLY)
+
+
 def text_of(column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

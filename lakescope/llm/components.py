@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import held, stored
 
 #: Edges that one task finishes by union-find (16 MB); more are contracted first.
 LOCAL = 1 << 20
@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbours; hubs are aggregated before the exchange. It ends when no edge changes. As soon as at most LOCAL
     edges are left, as counted, one task finishes them.
     """
-    edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = held(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     seen = _size(edges)
     while seen[0] > LOCAL:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, prepare, stored, table, text_of
+from .common import emit, held, prepare, stored, table, text_of
 
 FAN = 8
 #: Rows that a run of the first level holds, and distinct digests for which one key range is made.
@@ -130,7 +130,7 @@ def merged(rows: DataFrame, keep: str = "smallest") -> DataFrame:
                 names += [pa.array(run[k].astype(np.int64)) for k in ("uid", "n", "same")]
                 yield pa.record_batch(names, names=[c.split()[0] for c in MERGED.split(", ")])
 
-    runs = stored(rows.mapInArrow(leaves, RUNS))
+    runs = held(rows.mapInArrow(leaves, RUNS))
     # Nodes are numbered without gaps, so the rounds are as few as the runs allow.
     nodes = sorted(r[0] for r in runs.select("node").distinct().collect())
     place = spark.createDataFrame([(k, i) for i, k in enumerate(nodes)], "node long, place long")
@@ -140,7 +140,7 @@ def merged(rows: DataFrame, keep: str = "smallest") -> DataFrame:
         left = -(-left // FAN)
         runs = runs.withColumn("node", F.floor(F.col("node") / FAN))
         runs = runs.repartition(min(left * ranges, max(wide, ranges)), "node", "range").groupBy("node", "range").applyInArrow(exchange, RUNS)
-    return stored(runs.select("body").mapInArrow(opened, MERGED))
+    return held(runs.select("body").mapInArrow(opened, MERGED))
 
 
 def met(rows: DataFrame, groups: DataFrame, stays=None) -> DataFrame:

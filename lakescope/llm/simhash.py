@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, prepare, stored, text_of
+from .common import emit, held, prepare, text_of
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -51,7 +51,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long) of every row, stored. Null text is the empty text."""
+    """doc_id, fp (long) of every row, held. Null text is the empty text."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return stored(d.mapInArrow(run, "doc_id long, fp long"))
+    return held(d.mapInArrow(run, "doc_id long, fp long"))
 
 
 def _counts(fps: np.ndarray) -> np.ndarray:
@@ -118,11 +118,11 @@ TILES = "part int, tile long, nodes binary, fps binary, " + ", ".join(f"{c} int"
 
 
 def _tiles(distinct: DataFrame, parts: int) -> DataFrame:
-    """part, tile, nodes and fps packed, least and largest population counts; at most TILE fingerprints each, stored."""
+    """part, tile, nodes and fps packed, least and largest population counts; at most TILE fingerprints each, held."""
     counts = [F.bit_count(F.col("fp").bitwiseAND(F.lit(int(m.astype(np.int64))))) for m in MASKS[[0, 1, 3, 5]]]
     keys = [f"c{i}" for i in range(len(counts))]
     ordered = distinct.select("node", "fp", *(c.alias(k) for c, k in zip(counts, keys, strict=True)))
-    ordered = ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("node", "fp")
+    ordered = ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "fp").select("node", "fp")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,7 +148,7 @@ def _tiles(distinct: DataFrame, parts: int) -> DataFrame:
 
         yield from emit(cut(), TILES)
 
-    return stored(ordered.mapInArrow(run, TILES))
+    return held(ordered.mapInArrow(run, TILES))
 
 
 def _cells(tiles: DataFrame, radius: int) -> DataFrame:
@@ -212,7 +212,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat in the result; other columns are ignored; an empty table gives an empty result.
     """
     rows = fingerprints(docs, id_col, text_col)
-    distinct = stored(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    distinct = held(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
     # A doc_id may stand on several rows with different texts: nodes are then numbered by fingerprint, not by document.
     joined = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius))
     ids = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
