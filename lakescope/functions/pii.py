@@ -17,6 +17,8 @@ PATTERNS = {
     "AU_TFN": rf"{B}[0-9]{{3}}[ -]?[0-9]{{3}}[ -]?[0-9]{{3}}{B}",
     "IN_AADHAAR": rf"{B}[0-9]{{4}}[\t\n\f\r ]?[0-9]{{4}}[\t\n\f\r ]?[0-9]{{4}}{B}",
 }
+#: What every match holds, found faster than the pattern.
+HOLDS = {"EMAIL": "@", "SSN_US": "[0-9]{3}-[0-9]{2}-", "CREDIT_CARD": "(?:[0-9][ -]?){6}", "PHONE_E164": r"\+[1-9]", "AU_TFN": "[0-9]{3}", "IN_AADHAAR": "[0-9]{4}"}
 KEY = "API_KEY_ENTROPY"
 MOST_BYTES, KEY_BYTES, KEY_BITS = 4096, 24, 4.0
 
@@ -47,7 +49,7 @@ def detected(text: Column) -> Column:
     A text with the surface of a card number, valid or not, is not read as a tax file number or Aadhaar.
     The key type is given only where nothing else is.
     """
-    hits = {k: text.rlike(p) for k, p in PATTERNS.items()}
+    hits = {k: F.when(text.rlike(HOLDS[k]), text.rlike(p)).otherwise(False) for k, p in PATTERNS.items()}
     surface = hits["CREDIT_CARD"]
     hits["CREDIT_CARD"] = luhn(F.regexp_extract(text, PATTERNS["CREDIT_CARD"], 0))
     for k in ("AU_TFN", "IN_AADHAAR"):

@@ -87,22 +87,24 @@ def matches(glob: Column, namespace: Column) -> Column:
     return (glob == "") | (glob == "*") | below | (namespace == glob)
 
 
-def first_match(tables: DataFrame, policies: DataFrame) -> DataFrame:
-    """tables(table_id, namespace) with policies(ord, name, target_namespace, ...): the first that matches, by ord.
+def _rule(rules: list[str]) -> Column:
+    """The place of the first of the globs that matches column namespace, -1 for none: a CASE, so no join."""
+    number: Column = F.lit(-1)
+    for k, glob in reversed(list(enumerate(rules))):
+        number = F.when(matches(F.lit(glob), F.col("namespace")), k).otherwise(number)
+    return number
+
 
-    The policies are a document's, not data's; Spark broadcasts them if they are as small as that.
-    """
-    columns = [c for c in policies.columns if c != "target_namespace"]
-    hit = tables.join(policies, matches(F.col("target_namespace"), F.col("namespace")), "left")
-    return hit.groupBy("table_id").agg(F.min_by(F.struct(*columns), "ord").alias("policy"))
+def first_match(tables: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """tables(table_id, namespace) with the name of the first of (name, glob) rules that matches, null for none."""
+    names = F.array(*(F.lit(name) for name, _ in rules)).cast("array<string>")
+    return tables.select("table_id", F.get(names, _rule([glob for _, glob in rules])).alias("policy"))
 
 
 def apply(tables: DataFrame, doc: Policies | None) -> DataFrame:
     """tables(table_id, namespace, ...) with threshold columns and the policy's name, by a CASE over the document."""
     rules = doc.policies if doc else []
-    number: Column = F.lit(-1)
-    for k, p in reversed(list(enumerate(rules))):
-        number = F.when(matches(F.lit(p.target_namespace), F.col("namespace")), k).otherwise(number)
+    number = _rule([p.target_namespace for p in rules])
     out = tables.withColumn("_rule", number)
     name: Column = F.lit(None).cast("string")
     values = {k: F.lit(v) for k, v in THRESHOLDS.items()}

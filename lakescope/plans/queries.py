@@ -67,15 +67,6 @@ def agg09_partition_stats(spark, d):
     return stats.partition_stats(p.files(spark, d))
 
 
-@query(f"""SELECT * FROM (SELECT table_id, part_key AS key, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, CAST(row_number() OVER (PARTITION BY table_id ORDER BY sum(file_size_bytes) DESC, part_key) AS INTEGER) AS rank
-FROM files WHERE {LIVE} AND content = 0 GROUP BY 1, 2) WHERE rank <= 5""", "files")
-def agg10_largest_partitions(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("table_id").orderBy(F.desc("bytes"), "key")
-    return stats.partition_stats(p.files(spark, d, "part")).withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("table_id", "key", "bytes", "rank")
-
-
 @query(f"""SELECT table_id, part_key AS key, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, CAST(row_number() OVER (PARTITION BY table_id ORDER BY sum(file_size_bytes) DESC, part_key) AS INTEGER) AS rank
 FROM files WHERE {LIVE} AND content = 0 GROUP BY 1, 2""", "files")
 def agg10_partitions_by_bytes(spark, d):
@@ -117,15 +108,14 @@ def hlt11_median(spark, d):
 
 
 def _stats(spark, d, key="month"):
-    """Statistics of the two tables of files; their snapshots are those of two event types."""
-    names = F.when(F.col("table_id") == "type.error", "sales.f").when(F.col("table_id") == "type.view", "sales.o")
-    snaps = p.snapshots(spark, d, "event_type").withColumn("table_id", names).filter("table_id is not null")
+    """Statistics of the two tables of files; their snapshots are the events with even and with odd ids."""
+    snaps = p.snapshots(spark, d, "event_type").withColumn("table_id", F.when(F.col("snapshot_id") % 2 == 0, "sales.f").otherwise("sales.o"))
     base = spark.createDataFrame([("sales.f", 1), ("sales.o", 2)], "table_id string, format_version int")
     return stats.table_stats(base, p.files(spark, d, key), p.manifests(spark, d), snaps, NOW)
 
 
 DIM_SQL = f""", {_skew_sql('quantity')}, f AS ({STATS_SQL}), mc AS (SELECT table_id, count(*) AS manifest_count FROM manifests GROUP BY 1),
-sn AS (SELECT CASE type_id WHEN 'type.error' THEN 'sales.f' ELSE 'sales.o' END AS table_id, count(*) AS n, max({NOW} - timestamp_ms) AS age FROM snapshots WHERE type_id IN ('type.error', 'type.view') GROUP BY 1),
+sn AS (SELECT CASE WHEN snapshot_id % 2 = 0 THEN 'sales.f' ELSE 'sales.o' END AS table_id, count(*) AS n, max({NOW} - timestamp_ms) AS age FROM snapshots GROUP BY 1),
 j AS (SELECT f.*, mc.manifest_count, sn.n, sn.age, s.partitions, s.cv, CASE f.table_id WHEN 'sales.f' THEN 1 ELSE 2 END AS v FROM f JOIN mc USING (table_id) JOIN sn USING (table_id) JOIN s USING (table_id)),
 dims AS (
 SELECT table_id, 'file_size' AS name, CASE WHEN data_files = 0 THEN 20 WHEN small_128 / data_files >= 0.5 THEN 8 WHEN small_128 / data_files >= 0.25 THEN 12 ELSE 20 END AS score, 20 AS max_score,
@@ -313,8 +303,7 @@ _POLICY_SQL = "(VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in _POLI
 
 @query(f"SELECT table_id, arg_min(name, ord) AS policy FROM tables, {_POLICY_SQL} WHERE pat IN ('', '*') OR pat = namespace OR (suffix(pat, '.*') AND (namespace = regexp_replace(pat, '\\.\\*$', '') OR starts_with(namespace, regexp_replace(pat, '\\*$', '')))) GROUP BY 1", "tables")
 def pol03_first_match(spark, d):
-    rules = spark.createDataFrame(_POLICIES, "ord int, name string, target_namespace string")
-    return policy.first_match(p.tables(spark, d).select("table_id", "namespace"), rules).select("table_id", F.col("policy.name").alias("policy"))
+    return policy.first_match(p.tables(spark, d), [(name, glob) for _, name, glob in _POLICIES])
 
 
 @query("""SELECT table_id, CAST(CASE WHEN namespace = 'machinery' THEN 64 ELSE 128 END * 1048576 AS BIGINT) AS min_file_bytes, CASE WHEN namespace = 'machinery' THEN 10 ELSE 2000 END AS manifests_warn, CASE WHEN namespace = 'machinery' THEN 20 ELSE 5000 END AS manifests_crit,
@@ -344,10 +333,10 @@ def pii15_luhn(spark, d):
     c = p.cells(spark, d).filter(F.col("column") == "card")
     return c.select(F.col("value").alias("card"), detect.luhn(F.col("value")).alias("valid"))
 
-@query("""SELECT value, round((SELECT -sum(n / len(value) * log2(n / len(value))) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(value, '')) AS c) WHERE c <> '' GROUP BY c)), 6) AS bits FROM cells WHERE table_id = 't.customer' AND "column" IN ('key', 'card')""", "cells")
+@query("""SELECT table_id, "column", md5(value) AS digest, round((SELECT -sum(n / len(value) * log2(n / len(value))) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(value, '')) AS c) WHERE c <> '' GROUP BY c)), 6) AS bits FROM cells WHERE table_id = 't.customer'""", "cells")
 def pii17_entropy(spark, d):
-    c = p.cells(spark, d).filter((F.col("table_id") == "t.customer") & F.col("column").isin("key", "card"))
-    return c.select("value", F.round(detect.entropy(F.col("value")), 6).alias("bits"))
+    c = p.cells(spark, d).filter(F.col("table_id") == "t.customer")
+    return c.select("table_id", "column", F.md5(F.col("value").cast("binary")).alias("digest"), F.round(detect.entropy(F.col("value")), 6).alias("bits"))
 
 
 _PII_SQL = f""", f AS (SELECT table_id, "column", value, octet_length(encode(value)) BETWEEN 1 AND 4096 AS g, {", ".join(f"regexp_matches(value, '{r}') AS {k.lower()}" for k, r in _RE2.items())}, regexp_extract(regexp_replace(regexp_extract(value, '{_RE2["CREDIT_CARD"]}'), '[ -]', '', 'g'), '.*') AS d FROM cells WHERE value IS NOT NULL),

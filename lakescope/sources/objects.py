@@ -52,9 +52,3 @@ def listed(spark: SparkSession, prefixes: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([table] * len(rows), pa.string()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["table_id", "uri", "size_bytes", "updated_at_ms"])
 
     return prefixes.select("table_id", "prefix").repartition(F.col("prefix")).mapInArrow(run, OBJECT)
-
-
-def from_hadoop(spark: SparkSession, table_id: str, prefix: str) -> DataFrame:
-    """A listing by Spark's own file source, for stores that only Hadoop connectors reach; it leaves out names with _ or . in front."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prefix)
-    return rows.select(F.lit(table_id).alias("table_id"), F.col("path").alias("uri"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("updated_at_ms"))
