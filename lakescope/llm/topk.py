@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import emit, prepare, rows_of, stored
 
 SCALE = 256
-CANDIDATES, QUERIES, TILE = 16384, 1024, 2048
+CANDIDATES, QUERIES, TILE, BATCH = 16384, 1024, 2048, 256
 #: First depth and vectors left at the end, per k. Sums of doubles are exact integers below this.
 FIRST, FEW, EXACT = 4, 4, 2.0**52
 BLOCK = "part long, dim int, ids binary, uids binary, body binary"
@@ -61,60 +61,75 @@ class Lists:
     """A tile's vectors as one list per component, in falling order; read from its end for negative components of a query."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
-        self.at = np.argsort(-x, axis=0, kind="stable")
-        self.values = np.take_along_axis(x, self.at, axis=0)
-        self.largest = np.abs(x).max(initial=0)
-
-    def read(self, up: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and values at ranks begin to end of every list, read from the end that suits the query."""
-        n = len(self.x)
-        back = slice(n - end, n - begin)
-        return np.where(up, self.at[begin:end], self.at[back][::-1]), np.where(up, self.values[begin:end], self.values[back][::-1])
-
-
-def search(lists: Lists, q: np.ndarray, own: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions and exact scores that hold a query's k best of a tile, and how deep the lists were read.
-
-    own: positions that take no part. Vectors whose scores are below floor may be left out: k better ones are known.
-    A vector's score lies between what was read of it plus each unread list's worst, and plus each one's frontier.
-    When too few can still be among the k best, their final scores are resolved.
+        self.x, self.largest = x, np.abs(x).max(initial=0)
+        at = np.argsort(-x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, at, axis=0)
+        self.rank = np.empty_like(at)
+        np.put_along_axis(self.rank, at, np.arange(len(x))[:, None], axis=0)
+        self._read: dict[int, tuple] = {}
+
+    def read(self, begin: int, end: int) -> tuple[np.ndarray, ...]:
+        """What ranks begin to end add, from the high ends and from the low ends, and what ranks up to end have shown; made once."""
+        if end not in self._read:
+            low = len(self.x) - 1 - self.rank
+            parts = [np.where((r >= begin) & (r < end), self.x, 0.0) for r in (self.rank, low)]
+            self._read[end] = *parts, *((r < end).astype(float) for r in (self.rank, low))
+        return self._read[end]
+
+
+def search(lists: Lists, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query: positions and exact scores of its k best in a tile, and how deep the lists were read.
+
+    own: each query's own position, which takes no part, or -1. Vectors that score below a query's floor may be
+    left out: k better ones are known. A vector's score lies between what was read of it plus each unread list's
+    worst, and plus each one's frontier. A query for which few outsiders can still be among the k best has their
+    final scores resolved; the others read on. One depth of all queries' lists is one matrix product.
     """
     n, d = lists.x.shape
+    out = np.zeros((len(q), n), bool)
+    out[np.flatnonzero(own >= 0), own[own >= 0]] = True
     if d * np.abs(q).max(initial=0) * lists.largest >= EXACT:
-        rest = np.setdiff1d(np.arange(n), own)
         whole = np.vectorize(int, otypes=[object])
-        scores = [max(-(2**63), min(2**63 - 1, int(s))) for s in whole(lists.x[rest]) @ whole(q)] if len(rest) else []
-        return rest, np.array(scores, np.int64), n
-    up = q >= 0
-    worst = q * np.where(up, lists.values[-1], lists.values[0])
-    score, left = np.zeros(n), np.full(n, worst.sum())
-    out = np.zeros(n, bool)
-    out[own] = True
-    seen, depth = [], 0
-    while depth < n:
-        end = min(n, max(FIRST * k, n // 8) if not depth else 2 * depth)
-        ids, values = lists.read(up, depth, end)
-        parts = values * q
-        flat = ids.ravel()
-        score += np.bincount(flat, parts.ravel(), n)
-        left -= np.bincount(flat, np.broadcast_to(worst, ids.shape).ravel(), n)
-        seen.append(flat)
-        depth = end
-        if depth == n:
+        scores = whole(q) @ whole(lists.x).T
+        return [(*_best(np.flatnonzero(~out[i]), scores[i], k), n) for i in range(len(q))]
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    score, active, results = np.zeros((len(q), n)), np.arange(len(q)), [None] * len(q)
+    begin, end = 0, min(n, max(FIRST * k, n // 8))
+    while len(active):
+        high, low, seen_high, seen_low = lists.read(begin, end)
+        u, v = up[active], down[active]
+        now = score[active] + u @ high.T + v @ low.T
+        if end == n:
+            for j, i in enumerate(active):
+                results[i] = *_best(np.flatnonzero(~out[i] & (now[j] >= floor[i])), now[j], k), n
             break
-        front = parts[-1]
-        known = sum(np.bincount(f, np.broadcast_to(front, (len(f) // d, d)).ravel(), n) for f in seen)
-        upper, lower = score + front.sum() - known, score + left
-        lower[out] = -np.inf
-        kth = max(floor, np.partition(lower, n - k)[n - k] if n > k else -np.inf)
-        out |= upper < kth
-        rest = np.flatnonzero(~out)
-        if len(rest) <= FEW * k:
-            scores = lists.x[rest] @ q
-            return rest[scores >= floor], scores[scores >= floor].astype(np.int64), depth
-    rest = np.flatnonzero(~out & (score >= floor))
-    return rest, score[rest].astype(np.int64), n
+
+        def unread(of_high: np.ndarray, of_low: np.ndarray) -> np.ndarray:
+            return (u @ of_high + v @ of_low)[:, None] - ((u * of_high) @ seen_high.T + (v * of_low) @ seen_low.T)
+
+        gone = out[active]
+        lower = np.where(gone, -np.inf, now + unread(lists.values[-1], lists.values[0]))
+        kth = np.maximum(floor[active], np.partition(lower, n - k, axis=1)[:, n - k] if n > k else -np.inf)
+        gone |= now + unread(lists.values[end - 1], lists.values[n - end]) < kth[:, None]
+        out[active], score[active] = gone, now
+        done = n - gone.sum(axis=1) <= FEW * k
+        for i in active[done]:
+            rest = np.flatnonzero(~out[i])
+            now = np.zeros(n)
+            now[rest] = lists.x[rest] @ q[i]
+            results[i] = *_best(rest[now[rest] >= floor[i]], now, k), end
+        active, begin, end = active[~done], end, min(n, 2 * end)
+    return results
+
+
+def _best(at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the positions at, the k of the largest scores, ties to the earlier; and the scores, held to 64 bits."""
+    mine = scores[at]
+    if len(at) > 8 * k and mine.dtype != object:
+        kth = np.partition(mine, len(mine) - k)[len(mine) - k]
+        at, mine = at[mine >= kth], mine[mine >= kth]
+    order = sorted(range(len(at)), key=lambda j: (-mine[j], at[j]))[:k]
+    return at[order], np.array([max(-(2**63), min(2**63 - 1, int(mine[j]))) for j in order], np.int64)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -143,24 +158,27 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
             for dim, q_ids, q_uids, q_body, ids, uids, body in rows_of(batches):
                 q_ids, q_uids, ids, uids = (np.frombuffer(a, np.int64) for a in (q_ids, q_uids, ids, uids))
                 q, x = (np.frombuffer(a, np.float64).reshape(-1, dim) for a in (q_body, body))
-                yield from best(q_ids, q_uids, q, ids, uids, [(j, Lists(x[j : j + TILE])) for j in range(0, len(x), TILE)])
+                yield from best(q_ids, q_uids, q, ids, uids, x)
 
         yield from emit(found(), FOUND, 20_000)
 
-    def best(q_ids, q_uids, q, ids, uids, tiles):
-        """The k best of a candidate block for each query; each tile's search knows the k-th score so far."""
+    def best(q_ids, q_uids, q, ids, uids, x):
+        """The k best of a candidate block for each query; each tile's search knows the k-th scores so far."""
         place = dict(zip(uids.tolist(), range(len(uids)), strict=True))
-        for i in range(len(q)):
-            own = place.get(int(q_uids[i]), -1)
-            at, scores, floor = np.empty(0, np.int64), np.empty(0, np.int64), -np.inf
-            for j, lists in tiles:
-                found, more, _ = search(lists, q[i], np.array([own - j] if j <= own < j + len(lists.x) else [], np.int64), k, floor)
-                at, scores = np.append(at, found + j), np.append(scores, more)
-                order = np.lexsort((uids[at], ids[at], ~scores))[:k]
-                at, scores = at[order], scores[order]
-                floor = float(scores[-1]) if len(scores) == k else -np.inf
-            for a, s in zip(at.tolist(), scores.tolist(), strict=True):
-                yield int(q_ids[i]), int(q_uids[i]), int(ids[a]), int(uids[a]), s
+        own = np.array([place.get(u, -1) for u in q_uids.tolist()], np.int64)
+        kept: list[list[tuple]] = [[] for _ in range(len(q))]
+        floor = np.full(len(q), -np.inf)
+        for j in range(0, len(x), TILE):
+            lists = Lists(x[j : j + TILE])
+            inside = np.where((own >= j) & (own < j + len(lists.x)), own - j, -1)
+            for i in range(0, len(q), BATCH):
+                for m, (at, scores, _) in enumerate(search(lists, q[i : i + BATCH], inside[i : i + BATCH], k, floor[i : i + BATCH]), i):
+                    both = kept[m] + [(-s, int(ids[j + a]), int(uids[j + a])) for a, s in zip(at.tolist(), scores.tolist(), strict=True)]
+                    kept[m] = sorted(both)[:k]
+                    floor[m] = -kept[m][-1][0] if len(kept[m]) == k else -np.inf
+        for m, rows in enumerate(kept):
+            for s, vec_id, uid in rows:
+                yield int(q_ids[m]), int(q_uids[m]), vec_id, uid, -s
 
     order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     ranked = pairs.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -233,16 +233,17 @@ def test_lists_are_read_in_part():
     """On vectors with structure the bounds meet before the lists end; a known k-th score ends it sooner; results are exact."""
     rng = np.random.default_rng(3)
     x = np.floor(rng.exponential(40, (2000, 12)) ** 2)
-    lists, deep = topk.Lists(x), 0
-    for i in range(0, 400, 20):
-        at, scores, depth = topk.search(lists, x[i], np.array([i]), 5)
-        want = x @ x[i]
-        want[i] = -1
-        best = np.argsort(-want, kind="stable")[:5]
-        assert set(best) <= set(at) and dict(zip(at.tolist(), scores.tolist()))[best[0]] == want[best[0]]
-        deep += depth
-        assert len(topk.search(lists, x[i], np.array([i]), 5, float(want.max()) + 1)[0]) == 0
-    assert deep < 0.6 * 20 * 2000
+    asked, none = np.arange(0, 400, 20), np.full(20, -np.inf)
+    lists = topk.Lists(x)
+    found = topk.search(lists, x[asked], asked, 5, none)
+    want = x[asked] @ x.T
+    want[np.arange(20), asked] = -1
+    for (at, scores, _), w in zip(found, want, strict=True):
+        best = np.lexsort((np.arange(2000), -w))[:5]
+        assert at.tolist() == best.tolist() and scores.tolist() == w[best].tolist()
+    assert np.mean([depth for *_, depth in found]) < 0.6 * 2000
+    sooner = topk.search(lists, x[asked], asked, 5, want.max(axis=1) + 1)
+    assert all(len(at) == 0 for at, *_ in sooner) and np.mean([depth for *_, depth in sooner]) < np.mean([depth for *_, depth in found])
 
 
 def test_token_counts(docs, rows, empty):
