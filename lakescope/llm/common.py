@@ -9,6 +9,7 @@ is in a message once per chunk, so no bucket grows with the frequency of a key.
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import pickle
@@ -72,6 +73,12 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nobody reads any more; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held(frame: DataFrame) -> DataFrame:
     """The frame on executors' disks, for several readers; lost parts are computed again, so its rows must not depend on order.
 
@@ -196,6 +203,8 @@ def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[i
 
     numbered: the state is (number of the chunk, state), for results that name their chunk.
     """
+    tidy(sent.sparkSession)
+
     def run(group: pa.Table) -> pa.Table:
         state, answers = None, {}
         number = group["chunk"][0].as_py()

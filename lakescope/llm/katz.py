@@ -10,7 +10,6 @@ chunks of documents with the counts they need, and a chunk evaluates its tokens:
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,35 +92,36 @@ def scored(docs: DataFrame, held: Column, text_col: str = "text", keys: tuple[st
             parts[b] = words[b], counts[order[at : at + size]].astype(np.uint32)
             at += size
         small = flat.astype(np.uint16) if len(units.at) < 65536 else flat
-        return ([r[:2] for r in rows], sizes, small, order), parts
+        bucket = np.empty(len(order), np.int64)  # says the order in less room than the order itself
+        bucket[order] = np.repeat(sorted(words), [len(parts[b][1]) for b in sorted(words)])
+        return ([r[:2] for r in rows], sizes, small, _slim(bucket)), parts
 
     def words(messages):
-        """Each word's global number and count; the bucket's share of the totals comes last."""
+        """Each word's rank in its bucket and count; the bucket's share of the totals comes last. Number: rank * n + bucket + 1."""
         names, places = distinct([m[0] for m in messages])
-        bucket = xxhash.xxh32_intdigest(names[0]) % n
         counts = np.zeros(len(names), np.int64)
         for m, p in zip(messages, places, strict=True):
             np.add.at(counts, p, m[1].astype(np.int64))
         rank = np.empty(len(names), np.int64)  # frequent words get small numbers, which take less room
         rank[sorted(range(len(names)), key=lambda k: (-counts[k], names[k]))] = np.arange(len(names))
-        number = rank * n + bucket + 1
         of = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)
         totals = [(0, 0, counts.sum(), (counts > 0).sum(), 0, 0, 0, 0), (1, 0, *of[1 : K + 2])]
-        return [(_slim(number[p]), _slim(counts[p])) for p in places], totals
+        return [(_slim(rank[p]), _slim(counts[p])) for p in places], totals
 
-    def known(order, answers):
+    def known(bucket, answers):
         """Global number and count of each local word."""
-        number, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        parts = [answers[b] for b in sorted(answers) if b < n]
+        number, count = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        parts = [(answers[b][0].astype(np.int64) * n + b + 1, answers[b][1]) for b in sorted(answers) if b < n]
         number[order], count[order] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         return number, count
 
     def local(state, answers):
         """The chunk's distinct pairs by local numbers, and each token's pair; the number after the last is the start."""
-        rows, sizes, flat, order = state
-        number, count = known(order, answers)
+        rows, sizes, flat, bucket = state
+        number, count = known(bucket, answers)
         number, count = np.append(number, START), np.append(count, count[0])
-        first, second, tokens = _pairs(flat, sizes, 0, len(order))
+        first, second, tokens = _pairs(flat, sizes, 0, len(bucket))
         keys, inverse = np.unique(first << 32 | second, return_inverse=True)
         a, b = keys >> 32, keys & 0xFFFFFFFF
         return rows, number, count, a, b, inverse, tokens
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, held: Column, text_col: str = "text", keys: tuple[st
         for k, row in enumerate(rows):
             yield row[0], row[1], int(tokens[k]), int(sums[0][k]), words.tokens, float(sums[1][k]), float(sums[2][k])
 
-    sent = chunked(docs.select(F.to_json(F.struct(*keys)).alias("row"), held.alias("held"), text_of(text_col).cast("binary").alias("text")), ask)
+    sent = chunked(docs.select(F.to_json(F.struct(*keys)).alias("row"), held.alias("held"), text_of(text_col).cast("binary").alias("text")), ask, level=6)
     answers1 = stored(answered(sent, words, n, summed=True))
     sums = {r["kind"]: r for r in _totals(answers1).collect()}
     head, tail = ([float(sums[k][f"v{i}"]) for i in range(6)] if k in sums else [0.0] * 6 for k in (0, 1))
