@@ -75,8 +75,9 @@ def stored(frame: DataFrame) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nobody reads any more; else they stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finds dead held the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def held(frame: DataFrame) -> DataFrame:
