@@ -149,6 +149,12 @@ def emit(rows: Iterable[tuple], schema: str, most: int = 2000) -> Iterator[pa.Re
         yield table(schema, list(zip(*held, strict=True)) if held else [[] for _ in schema.split(",")])
 
 
+def _dealt(rows: DataFrame, parts: int, key: str) -> DataFrame:
+    """The rows in as many parts, where that is more than the session deals out by itself and then joins as they are small."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key) if parts > usual else rows
+
+
 def chunked(docs: DataFrame, work: Callable[[list[tuple]], tuple[object, dict[int, object]]], level: int = 3) -> DataFrame:
     """First step of the exchange: chunks of rows (last column: text) to blobs and messages.
 
@@ -196,7 +202,7 @@ def answered(sent: DataFrame, work: Callable[[list[object]], list[object]], part
             chunks, buckets = [*chunks, -1], [*buckets, buckets[0]]
         return pa.Table.from_batches([table(ROWS, [chunks, buckets, [pack(x) for x in answers]])])
 
-    return sent.filter("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, ROWS)
+    return _dealt(sent.filter("bucket >= 0"), parts, "bucket").groupBy("bucket").applyInArrow(run, ROWS)
 
 
 def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[int, object]], Iterable[tuple]], schema: str, parts: int, numbered: bool = False) -> DataFrame:
@@ -216,7 +222,7 @@ def gathered(sent: DataFrame, answers: DataFrame, work: Callable[[object, dict[i
                 answers[bucket] = unpack(body)
         return pa.Table.from_batches(list(emit(work((number, state) if numbered else state, answers), schema)))
 
-    return sent.filter("bucket < 0").unionByName(answers).repartition(parts, "chunk").groupBy("chunk").applyInArrow(run, schema)
+    return _dealt(sent.filter("bucket < 0").unionByName(answers), parts, "chunk").groupBy("chunk").applyInArrow(run, schema)
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
