@@ -14,6 +14,7 @@ import io
 import os
 import pickle
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -73,11 +74,16 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nobody reads any more; else they stay until the driver collects its garbage."""
+def tidy(spark: SparkSession, seconds: float = 2.0) -> None:
+    """Let Spark delete the shuffle files of frames that nobody reads any more; else they stay until the driver collects its garbage.
+
+    Spark's cleaner works in the background, so a moment is left to it; a local master's disk does without.
+    """
     for _ in range(2):  # what the first round finds dead held the rest
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        if not spark.sparkContext.master.startswith("local["):
+            time.sleep(seconds / 2)
 
 
 def held(frame: DataFrame) -> DataFrame:
