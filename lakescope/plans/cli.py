@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from ..operators.cost import Rates
 from ..operators.policy import parse, parse_duration
 from ..sources.catalogs import Catalog, catalog
+from ..sources.stores import Stores
 from . import audit, exits, metrics, render
 
 VERSION = "0.1.0"
@@ -18,7 +19,7 @@ VERSION = "0.1.0"
 
 def parser() -> argparse.ArgumentParser:
     shared = argparse.ArgumentParser(add_help=False)
-    for name in ("--catalog-root", "--glue-catalog", "--rest", "--rest-prefix", "--rest-token", "--oauth-url", "--oauth-client", "--oauth-secret", "--table"):
+    for name in ("--catalog-root", "--glue-catalog", "--rest", "--rest-prefix", "--rest-token", "--oauth-url", "--oauth-client", "--oauth-secret", "--table", "--webhdfs-url", "--webhdfs-user", "--s3-endpoint", "--s3-region"):
         shared.add_argument(name, default="")
     shared.add_argument("--catalog", default="localfs")
     top = argparse.ArgumentParser(prog="lakescope", description=__doc__)
@@ -157,6 +158,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
         if a.command in ("orphans", "pii", "bench", "cost") and not a.table:
             raise exits.Coded(exits.CONFIG, "--table is required")
         session = spark or SparkSession.builder.appName("lakescope").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        Stores(a.webhdfs_url, a.webhdfs_user, a.s3_endpoint, a.s3_region).set(session)
         return globals()[f"run_{a.command}"](a, session, out)
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)

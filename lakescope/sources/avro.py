@@ -7,7 +7,6 @@ does not use are skipped without being built.
 
 from __future__ import annotations
 
-import io
 import json
 import struct
 import zlib
@@ -16,7 +15,8 @@ from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .stores import Stores, dealt
 
 MAGIC = b"Obj\x01"
 
@@ -238,31 +238,20 @@ MANIFESTS = "manifest_path string, manifest_length long, partition_spec_id int,
 FILES = "status int, entry_snapshot_id long, sequence_number long, content int, file_path string, file_format string, partition map<string,string>, record_count long, file_size_bytes long"
 
 
-def opened(uri: str) -> BinaryIO:
-    """A local path, or a URI of a store that Arrow's file systems know."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    if uri.startswith("/"):
-        return open(uri, "rb")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    return io.BytesIO(store.open_input_stream(path).read())
-
-
 def _scanned(paths: DataFrame, keep: list[str], row, schema: str, pos: str, skip_bad: bool) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     kept = paths.select(*keep, "path")
     full = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + f", {pos} int, {schema}"
     arrow = _arrow(_parse_datatype_string(full))
+    stores = Stores.of(paths.sparkSession)
 
     def run(batches):
         def rows():
             for batch in batches:
                 for *key, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     try:
-                        with opened(path) as f:
+                        with stores.open(path) as f:
                             for k, r in enumerate(records(f)):
                                 if (out := row(r)) is not None:
                                     yield (*key, k, *out)
@@ -279,7 +268,7 @@ def _scanned(paths: DataFrame, keep: list[str], row, schema: str, pos: str, skip
         columns = list(zip(*held, strict=True)) or [[] for _ in arrow]
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return kept.repartition(F.col("path")).mapInArrow(run, full)
+    return dealt(kept, "path").mapInArrow(run, full)
 
 
 def _arrow(schema) -> pa.Schema:

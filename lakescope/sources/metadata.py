@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..functions.paths import normalized, partition_key, resolve
 from ..operators.cost import ADDED, REMOVED, summary_long
 from ..operators.writepattern import summary_files
 from . import avro
+from .stores import Stores, dealt
 
 #: Names of the format, with dashes. Types of schema fields are kept as raw JSON.
 SCHEMA = """
@@ -20,14 +22,32 @@ refs map<string,struct<`snapshot-id`:bigint,type:string,`min-snapshots-to-keep`:
 """
 
 
+def _texts(paths: DataFrame, stores: Stores) -> DataFrame:
+    """paths(path) -> (path, text) of whole files that Spark's own file systems do not reach."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with stores.open(path) as f:
+                    yield pa.record_batch([pa.array([path]), pa.array([f.read().decode()])], names=["path", "text"])
+
+    return dealt(paths, "path").mapInArrow(run, "path string, text string")
+
+
 def read(spark: SparkSession, entries: DataFrame) -> DataFrame:
     """entries(table_id, namespace, metadata_location, properties) -> one row per table with its document.
 
     A document that does not parse fails the read; a version that is missing or not 1 to 3 is told by valid.
     """
     places = [r[0] for r in entries.select("metadata_location").distinct().collect()]  # the list of a catalog, not of data
-    docs = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(places) if places else spark.createDataFrame([], SCHEMA)
-    docs = docs.withColumn("_at", normalized(F.col("_metadata.file_path")) if places else F.lit(""))
+    stores = Stores.of(spark)
+    plain = [x for x in places if not stores.serves(x)]
+    docs = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(plain) if plain else spark.createDataFrame([], SCHEMA)
+    docs = docs.withColumn("_at", normalized(F.col("_metadata.file_path")) if plain else F.lit(""))
+    if served := [x for x in places if stores.serves(x)]:
+        texts = _texts(spark.createDataFrame([(x,) for x in served], "path string"), stores)
+        parsed = texts.select(F.from_json("text", SCHEMA, {"mode": "FAILFAST"}).alias("d"), normalized(F.col("path")).alias("_at"))
+        docs = docs.unionByName(parsed.select("d.*", "_at"))
     own = entries.withColumn("_at", normalized(F.col("metadata_location"))).withColumnRenamed("properties", "catalog_properties")
     out = own.join(docs, "_at").drop("_at")
     for dashed in ("format-version", "current-snapshot-id"):

@@ -2,53 +2,59 @@
 
 from __future__ import annotations
 
-import os
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-OBJECT = "table_id string, uri string, size_bytes long, updated_at_ms long"
-
 
-def scheme_of(uri: str) -> str:
-    at = uri.find("://")
-    return uri[:at].lower() if at > 0 else ""
+from .stores import Stores, dealt
 
-
-def walked(root: str) -> list[tuple[str, int, int]]:
-    """Regular files under a local prefix, hidden ones included; URIs keep file:// if the prefix has it."""
-    mark = "file://" if root.startswith("file://") else ""
-    out = []
-    for folder, _, names in os.walk(root.removeprefix("file://")):
-        for name in names:
-            path = os.path.join(folder, name)
-            if os.path.isfile(path) and not os.path.islink(path):
-                at = os.stat(path)
-                out.append((mark + path, at.st_size, int(at.st_mtime * 1000)))
-    return sorted(out)
+OBJECT = "table_id string, uri string, size_bytes long, updated_at_ms long"
+#: Rows of a listing in one batch.
+ROWS = 10_000
 
 
 def listed(spark: SparkSession, prefixes: DataFrame) -> DataFrame:
-    """prefixes(table_id, prefix) -> objects below each, one task's work per prefix.
+    """prefixes(table_id, prefix) -> objects below each. Nothing is listed on the driver.
 
-    Local prefixes are walked; those of other schemes are listed through Arrow's file systems. An unknown
-    scheme is an error. Nothing is listed on the driver.
+    Two levels of folders are listed first and dealt out; a task lists what is below its own, folder by folder.
+    An unknown scheme is an error.
     """
-    import pyarrow as pa
+    stores = Stores.of(spark)
+
+    def batches_of(rows, schema: str):
+        kinds = {"string": pa.string(), "long": pa.int64()}
+        names = [x.split() for x in schema.split(", ")]
+        for at in range(0, len(rows) or 1, ROWS):
+            columns = list(zip(*rows[at:at + ROWS], strict=True)) or [[] for _ in names]
+            yield pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
-    def run(batches):
+    def rows_in(batches):
         for batch in batches:
-            for table, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if scheme_of(prefix) in ("", "file"):
-                    rows = walked(prefix)
-                else:
-                    from pyarrow import fs
-
-                    store, path = fs.FileSystem.from_uri(prefix)
-                    lead = prefix[: prefix.index("://") + 3]
-                    found = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-                    rows = [(lead + f.path, f.size or 0, int(f.mtime.timestamp() * 1000) if f.mtime else 0) for f in found if f.is_file]
-                columns = list(zip(*rows, strict=True)) or [[], [], []]
-                yield pa.record_batch([pa.array([table] * len(rows), pa.string()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["table_id", "uri", "size_bytes", "updated_at_ms"])
-
-    return prefixes.select("table_id", "prefix").repartition(F.col("prefix")).mapInArrow(run, OBJECT)
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def level(batches):
+        """Folders (no size) to what lies in them; files pass."""
+        for table, uri, size, changed in rows_in(batches):
+            rows = [(table, uri, size, changed)]
+            if size is None:
+                files, folders = stores.level(uri)
+                rows = [(table, *f) for f in files] + [(table, f, None, None) for f in folders]
+            yield from batches_of(rows, OBJECT)
+
+    def below(batches):
+        """Folders to all files below them; files pass."""
+        files = []
+        for table, uri, size, changed in rows_in(batches):
+            if size is not None:
+                files.append((table, uri, size, changed))
+            else:
+                for found in stores.walk(uri):
+                    yield from batches_of([(table, *f) for f in found], OBJECT)
+            if len(files) >= ROWS:
+                yield from batches_of(files, OBJECT)
+                files = []
+        yield from batches_of(files, OBJECT)
+
+    top = prefixes.selectExpr("table_id", "prefix AS uri", "CAST(NULL AS LONG) AS size_bytes", "CAST(NULL AS LONG) AS updated_at_ms")
+    for work in (level, level, below):
+        top = dealt(top, "uri").mapInArrow(work, OBJECT)
+    return top

@@ -9,19 +9,16 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stores import Stores, dealt
+
 #: Rows of a column that are decoded at once, and bytes of a column chunk that are read at once.
 ROWS, BUFFER = 256, 1 << 20
 
 
-def opened(uri: str) -> pq.ParquetFile | None:
-    """A file of a local path or of a store that Arrow's file systems know; none if it is not there."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    store, path = (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+def opened(stores: Stores, uri: str) -> pq.ParquetFile | None:
+    """A stored file; none if it is not there."""
     try:
-        return pq.ParquetFile(store.open_input_file(path), buffer_size=BUFFER)
+        return pq.ParquetFile(stores.seekable(uri), buffer_size=BUFFER)
     except FileNotFoundError:
         return None
 
@@ -61,27 +58,29 @@ def first_values(file: pq.ParquetFile, group: int, leaf: str, most: int) -> Iter
 
 def groups(paths: DataFrame) -> DataFrame:
     """paths(path) -> a row (path, row_group) for each row group that a file's footer names. Files that are not there have none."""
+    stores = Stores.of(paths.sparkSession)
 
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                n = file.num_row_groups if (file := opened(path)) else 0
+                n = file.num_row_groups if (file := opened(stores, path)) else 0
                 yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32())], names=["path", "row_group"])
 
-    return paths.select("path").repartition("path").mapInArrow(run, "path string, row_group int")
+    return dealt(paths.select("path"), "path").mapInArrow(run, "path string, row_group int")
 
 
 def values(chosen: DataFrame, per_group: int) -> DataFrame:
     """chosen(path, row_group) -> (path, row_group, column, value): of every string leaf the first per_group non-null values."""
+    stores = Stores.of(chosen.sparkSession)
 
     def run(batches):
         for batch in batches:
             for path, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file := opened(path)) is None:
+                if (file := opened(stores, path)) is None:
                     continue
                 for leaf in string_leaves(file):
                     for found in first_values(file, group, leaf, per_group):
                         n = len(found)
                         yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array([group] * n, pa.int32()), pa.array([leaf] * n, pa.string()), found], names=["path", "row_group", "column", "value"])
 
-    return chosen.select("path", "row_group").repartition("path", "row_group").mapInArrow(run, "path string, row_group int, column string, value binary").withColumn("value", F.col("value").cast("string"))
+    return dealt(chosen.select("path", "row_group"), "path", "row_group").mapInArrow(run, "path string, row_group int, column string, value binary").withColumn("value", F.col("value").cast("string"))
