@@ -39,12 +39,18 @@ def tables_of(spark: SparkSession, catalog: Catalog, table: str = "", namespace:
     return docs.filter("valid")
 
 
-def statistics(tables: DataFrame, now_ms: int, branch: str | None = None, doc: policy_ops.Policies | None = None, sqrt_mode: str = "true", effective: bool = False) -> DataFrame:
-    """A row per table: what its snapshots, manifests and files add up to, its write pattern and its thresholds."""
+def statistics(tables: DataFrame, now_ms: int, branch: str | None = None, doc: policy_ops.Policies | None = None, sqrt_mode: str = "true", effective: bool = False, kept: list[DataFrame] | None = None) -> DataFrame:
+    """A row per table: what its snapshots, manifests and files add up to, its write pattern and its thresholds.
+
+    Documents, manifests and entries are read once and cached; the frames are added to kept, for the caller to release.
+    """
+    tables = tables.cache()
     snaps = metadata.snapshots(tables)
     chosen = metadata.resolved(tables, branch)
     manifests = metadata.manifests(chosen).cache()
-    files = metadata.files(manifests).select("table_id", "status", "content", "file_size_bytes", "record_count", "partition_key").cache()  # decoded once
+    files = metadata.files(manifests).select("table_id", "status", "content", "file_size_bytes", "record_count", "partition_key").cache()
+    if kept is not None:
+        kept += (tables, manifests, files)
     base = policy_ops.apply(tables.select("table_id", "namespace", "format_version", "current_snapshot_id"), doc)
     pattern = writepattern.patterns(snaps, sqrt_mode=sqrt_mode).select("table_id", F.col("pattern").alias("write_pattern"), "files_per_commit")
     out = stats.table_stats(base, files, manifests, snaps, now_ms, sqrt_mode).join(pattern, "table_id", "left").fillna({"write_pattern": "unknown", "files_per_commit": 0.0})
@@ -64,11 +70,28 @@ def reports(stat: DataFrame, catalog_name: str = "", scan_ms: int = 0, effective
     return scoring.reports(dims).join(beside, "table_id").withColumns({"catalog": F.lit(catalog_name), "scan_ms": F.lit(scan_ms), "wastage_bytes": F.lit(0)})
 
 
-def audit(spark: SparkSession, catalog: Catalog, table: str = "", namespace: str = "", now_ms: int | None = None, **options) -> DataFrame:
-    """Health reports. Options: branch, doc (policies), sqrt_mode, effective."""
-    began = time.time()
-    stat = statistics(tables_of(spark, catalog, table, namespace), now_ms or now(), **options).cache()
-    stat.count()
+def release(kept: list[DataFrame]) -> None:
+    """Give up cached frames, the last one first."""
+    while kept:
+        kept.pop().unpersist()
+
+
+def audit(spark: SparkSession, catalog: Catalog, table: str = "", namespace: str = "", now_ms: int | None = None, kept: list[DataFrame] | None = None, **options) -> DataFrame:
+    """Health reports. Options: branch, doc (policies), sqrt_mode, effective.
+
+    Only the statistics, a row per table, stay cached; their frame is added to kept, for who audits again and again.
+    """
+    began, read_ = time.time(), []
+    stat = statistics(tables_of(spark, catalog, table, namespace), now_ms or now(), kept=read_, **options).cache()
+    try:
+        stat.count()
+    except BaseException:
+        stat.unpersist()
+        raise
+    finally:
+        release(read_)
+    if kept is not None:
+        kept.append(stat)
     return reports(stat, catalog.name, int((time.time() - began) * 1000), options.get("effective", False))
 
 
@@ -139,8 +162,13 @@ def baseline_path(folder: str, table: str, tag: str) -> str:
 
 
 def captured(spark: SparkSession, catalog: Catalog, table: str, now_ms: int | None = None) -> DataFrame:
-    stat = statistics(tables_of(spark, catalog, table), now_ms or now())
-    return stat.join(scoring.composite(scoring.dimensions(stat)).select("table_id", "score"), "table_id").select("table_id", *BASELINE)
+    kept: list[DataFrame] = []
+    try:
+        stat = statistics(tables_of(spark, catalog, table), now_ms or now(), kept=kept)
+        out = stat.join(scoring.composite(scoring.dimensions(stat)).select("table_id", "score"), "table_id").select("table_id", *BASELINE)
+        return spark.createDataFrame(out.collect(), out.schema)  # one table's row
+    finally:
+        release(kept)
 
 
 def bench_start(spark: SparkSession, catalog: Catalog, table: str, tag: str = "default", folder: str = ".lakescope/bench", now_ms: int | None = None) -> str:

@@ -6,7 +6,7 @@ import argparse
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cost import Rates
 from ..operators.policy import parse, parse_duration
@@ -141,7 +141,13 @@ def run_export(a, spark: SparkSession, out) -> int:
     state = monitor.State()
     server = monitor.serve(state, *host_port(a.listen))
     out.write(f"listening on {a.listen} (interval {a.interval})\n")
-    query = monitor.watch(spark, lambda: audit.audit(spark, cat, a.table, a.namespace, branch=a.branch or None, doc=doc), state, parse_duration(a.interval))
+    kept: list[DataFrame] = []
+
+    def scan() -> DataFrame:
+        audit.release(kept)
+        return audit.audit(spark, cat, a.table, a.namespace, kept=kept, branch=a.branch or None, doc=doc)
+
+    query = monitor.watch(spark, scan, state, parse_duration(a.interval))
     try:
         query.awaitTermination()
     finally:

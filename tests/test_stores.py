@@ -186,3 +186,26 @@ def test_unknown_scheme_and_depth(session, tmp_path):
     assert rows == [("t", f"{tmp_path}/{n}") for n in ("0", "a/1", "a/b/2", "a/b/c/3", "a/b/c/d/4")] + [("u", f"file://{tmp_path}/a/{n}") for n in ("1", "b/2", "b/c/3", "b/c/d/4")]
     with pytest.raises(Exception, match="nowhere"):
         objects.listed(spark, spark.createDataFrame([("t", "nowhere://x/y")], "table_id string, prefix string")).collect()
+
+
+def test_audits_release_what_they_read(session, tmp_path):
+    spark = session(stores.Stores())
+    spark.catalog.clearCache()
+    root = str(tmp_path)
+    t.table(root, "a", [t.entry("x.parquet")])
+    c, kept = catalogs.LocalCatalog(root), []
+    cached = lambda: spark._jsparkSession.sharedState().cacheManager().numCachedEntries()
+    for _ in range(3):
+        audit.release(kept)
+        assert audit.audit(spark, c, "db.a", kept=kept).count() == 1
+        assert cached() == 1
+    audit.release(kept)
+    assert cached() == 0
+    audit.bench_start(spark, c, "db.a", folder=f"{root}/bench")
+    with open(f"{root}/db/a/metadata/v10.metadata.json") as f:
+        doc = json.load(f)
+    t.save(f"{root}/db/a/metadata/m0.avro", t.ENTRY, [t.entry("x.parquet"), t.entry("y.parquet")])
+    with open(f"{root}/db/a/metadata/v10.metadata.json", "w") as f:
+        json.dump({**doc, "last-updated-ms": 1}, f)
+    assert audit.bench_compare(spark, c, "db.a", folder=f"{root}/bench")
+    assert cached() == 0
