@@ -51,3 +51,9 @@ def test_a_table_without_documents_ends_a_listing(spark, root):
     os.makedirs(f"{root}/a/empty/metadata")
     with pytest.raises(catalogs.NotFound):
         catalogs.LocalCatalog(root).entries(spark)
+
+
+def test_documents_are_read_where_entries_lie(spark, root):
+    docs = audit.tables_of(spark, catalogs.LocalCatalog(root))
+    assert "FileScan json" not in plan(docs) and "Join" not in plan(docs)
+    assert {(r.table_id, r.current_snapshot_id, len(r.snapshots)) for r in docs.collect()} == {(f"a.t{t}", 40, 40) for t in range(4)}
