@@ -57,3 +57,9 @@ def test_documents_are_read_where_entries_lie(spark, root):
     docs = audit.tables_of(spark, catalogs.LocalCatalog(root))
     assert "FileScan json" not in plan(docs) and "Join" not in plan(docs)
     assert {(r.table_id, r.current_snapshot_id, len(r.snapshots)) for r in docs.collect()} == {(f"a.t{t}", 40, 40) for t in range(4)}
+
+
+def test_the_wanted_snapshot_is_looked_up_in_its_document(spark, root):
+    found = metadata.resolved(audit.tables_of(spark, catalogs.LocalCatalog(root)))
+    assert "Join" not in plan(found) and "Aggregate" not in plan(found)
+    assert {(r.table_id, r.snapshot_id, r.pos) for r in found.collect()} == {(f"a.t{t}", 40, 39) for t in range(4)}
