@@ -63,3 +63,10 @@ def test_the_wanted_snapshot_is_looked_up_in_its_document(spark, root):
     found = metadata.resolved(audit.tables_of(spark, catalogs.LocalCatalog(root)))
     assert "Join" not in plan(found) and "Aggregate" not in plan(found)
     assert {(r.table_id, r.snapshot_id, r.pos) for r in found.collect()} == {(f"a.t{t}", 40, 39) for t in range(4)}
+
+
+def test_a_list_that_snapshots_share_is_read_once(spark, root):
+    docs = audit.tables_of(spark, catalogs.LocalCatalog(root))
+    assert metadata.lists(docs).count() == 4
+    refs = {r.uri_norm for r in audit.references(docs).filter("table_id = 'a.t0'").collect()}
+    assert refs == {f"{root}/a/t0/metadata/v10.metadata.json", f"{root}/a/t0/metadata/snap.avro", f"{root}/a/t0/metadata/m0.avro", "s3://b/0"}
