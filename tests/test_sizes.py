@@ -70,3 +70,31 @@ def test_a_list_that_snapshots_share_is_read_once(spark, root):
     assert metadata.lists(docs).count() == 4
     refs = {r.uri_norm for r in audit.references(docs).filter("table_id = 'a.t0'").collect()}
     assert refs == {f"{root}/a/t0/metadata/v10.metadata.json", f"{root}/a/t0/metadata/snap.avro", f"{root}/a/t0/metadata/m0.avro", "s3://b/0"}
+
+
+def test_schemas_are_decoded_by_code_made_for_them():
+    schema = {"type": "record", "name": "r", "fields": [
+        {"name": "i", "type": "long"}, {"name": "u", "type": ["null", "string"]}, {"name": "m", "type": {"type": "map", "values": "double"}}, {"name": "a", "type": {"type": "array", "items": ["null", "long"]}},
+        {"name": "in", "type": {"type": "record", "name": "q", "fields": [{"name": "b", "type": "boolean"}, {"name": "y", "type": "bytes"}]}}, {"name": "again", "type": "q"},
+    ]}
+    rows = [{"i": i, "u": None if i % 2 else "ü" * i, "m": {"x": i / 3}, "a": [None, i], "in": {"b": i % 3 == 0, "y": b"\0" * i}, "again": {"b": False, "y": b""}} for i in (-(2**62), -65, 0, 1, 64, 200)]
+    rows = [r if r["i"] >= 0 else {**r, "u": "n", "in": {"b": True, "y": b"z"}} for r in rows]
+    body = b"".join(map(avro.encoder({**schema, "fields": schema["fields"][:-1]}), rows))
+    out = io.BytesIO()
+    known = {**schema, "fields": schema["fields"][:-1]}
+    avro.write(out, known, rows)
+    decode = avro._decoder(json.dumps(known))
+    assert decode.__name__ == "decode"
+    expected = [{k: v for k, v in r.items() if k != "again"} for r in rows]
+    assert list(decode(body, len(rows))) == expected == list(avro.records(io.BytesIO(out.getvalue())))
+    block, names = avro.Reader(body), {}
+    assert [block.value(known, names) for _ in rows] == expected
+    named = avro._decoder(json.dumps(schema))
+    assert list(named(b"\x02\x00\x00\x00\x01\x00\x00\x02\x41", 1)) == [{"i": 1, "u": None, "m": {}, "a": [], "in": {"b": True, "y": b""}, "again": {"b": False, "y": b"A"}}]
+    with pytest.raises((ValueError, IndexError)):
+        list(decode(body[:-1], len(rows)))
+
+
+def test_a_schema_that_holds_itself_is_still_read():
+    schema = {"type": "record", "name": "n", "fields": [{"name": "v", "type": "int"}, {"name": "next", "type": ["null", "n"]}]}
+    assert list(avro._decoder(json.dumps(schema))(b"\x02\x02\x04\x00", 1)) == [{"v": 1, "next": {"v": 2, "next": None}}]
