@@ -98,3 +98,13 @@ def test_schemas_are_decoded_by_code_made_for_them():
 def test_a_schema_that_holds_itself_is_still_read():
     schema = {"type": "record", "name": "n", "fields": [{"name": "v", "type": "int"}, {"name": "next", "type": ["null", "n"]}]}
     assert list(avro._decoder(json.dumps(schema))(b"\x02\x02\x04\x00", 1)) == [{"v": 1, "next": {"v": 2, "next": None}}]
+
+
+def test_listings_travel_in_full_batches(spark, tmp_path):
+    for t in range(50):
+        (tmp_path / f"t{t}").mkdir()
+        (tmp_path / f"t{t}" / "o").write_text("x" * t)
+    prefixes = spark.createDataFrame([(f"t{t}", f"{tmp_path}/t{t}") for t in range(50)], "table_id string, prefix string")
+    listing = objects.listed(spark, prefixes)
+    assert {(r.table_id, r.size_bytes) for r in listing.collect()} == {(f"t{t}", t) for t in range(50)}
+    assert "json" not in plan(warehouse._listing(spark, TINY))  # listing asks for no document
