@@ -108,3 +108,12 @@ def test_listings_travel_in_full_batches(spark, tmp_path):
     listing = objects.listed(spark, prefixes)
     assert {(r.table_id, r.size_bytes) for r in listing.collect()} == {(f"t{t}", t) for t in range(50)}
     assert "json" not in plan(warehouse._listing(spark, TINY))  # listing asks for no document
+
+
+def test_a_size_sample_sorts_first_manifests_only(spark):
+    files = spark.range(40_000).select(F.lit("t").alias("table_id"), F.lit(1).alias("status"), F.lit(0).alias("content"), (F.col("id") % 1000).cast("int").alias("manifest_pos"), F.col("id").alias("entry_pos"), F.col("id").alias("file_size_bytes"))
+    sample = stats.size_sample(files)
+    expected = sorted(((i % 1000, i) for i in range(40_000)))[:1024]
+    assert sample.first()["sizes"] == [i for _, i in expected]
+    assert "Broadcast" in plan(sample)
+    assert len(stats.size_sample(files, 7).first()["sizes"]) == 7
