@@ -117,3 +117,10 @@ def test_a_size_sample_sorts_first_manifests_only(spark):
     assert sample.first()["sizes"] == [i for _, i in expected]
     assert "Broadcast" in plan(sample)
     assert len(stats.size_sample(files, 7).first()["sizes"]) == 7
+
+
+def test_cells_are_dealt_to_all_tasks(spark):
+    made = projections.cells(spark, TINY)
+    assert plan(made).count("Exchange hashpartitioning") == 4
+    per = made.filter("table_id = 't.customer'").groupBy(F.spark_partition_id()).count().count()
+    assert per == int(spark.conf.get("spark.sql.shuffle.partitions"))
