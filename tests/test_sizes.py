@@ -124,3 +124,10 @@ def test_cells_are_dealt_to_all_tasks(spark):
     assert plan(made).count("Exchange hashpartitioning") == 4
     per = made.filter("table_id = 't.customer'").groupBy(F.spark_partition_id()).count().count()
     assert per == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_pattern_is_looked_for_after_what_it_holds(spark):
+    texts = spark.createDataFrame([("a@b.org",), ("a at b.org",), ("A.B@C.NET x",), ("@",), (None,)], "t string")
+    for kind, p in detect.PATTERNS.items():
+        got = [tuple(r) for r in texts.select(detect.matches(F.col("t"), kind), F.col("t").rlike(p)).collect()]
+        assert all(a == b for a, b in got), kind
