@@ -24,17 +24,18 @@ def past_grace(objects: DataFrame, now_ms: int, grace_ms: int = GRACE_MS) -> Dat
 
 
 def referenced(objects: DataFrame, live: DataFrame) -> DataFrame:
-    return objects.withColumn("uri_norm", normalized(F.col("uri"))).join(live, ["table_id", "uri_norm"], "left_semi")
+    return objects.withColumn("uri_norm", normalized(F.col("uri"))).join(live.hint("merge"), ["table_id", "uri_norm"], "left_semi")
 
 
 def orphans(objects: DataFrame, live: DataFrame, now_ms: int, grace_ms: int = GRACE_MS) -> DataFrame:
     """objects(table_id, uri, size_bytes, updated_at_ms) without referenced ones, recent ones and metadata; with age_ms.
 
-    Metadata names are never candidates. An object without a time is as old as the epoch.
+    Metadata names are never candidates. An object without a time is as old as the epoch. References are many and their
+    size is guessed from the documents', so they are never broadcast.
     """
     old = past_grace(objects, now_ms, grace_ms).filter(~protected(F.col("uri"))).withColumn("uri_norm", normalized(F.col("uri")))
     age = (F.lit(now_ms) - F.col("updated_at_ms")).cast("long")
-    return old.join(live, ["table_id", "uri_norm"], "left_anti").select("table_id", "uri", "size_bytes", "updated_at_ms", age.alias("age_ms"))
+    return old.join(live.hint("merge"), ["table_id", "uri_norm"], "left_anti").select("table_id", "uri", "size_bytes", "updated_at_ms", age.alias("age_ms"))
 
 
 def totals(objects: DataFrame, candidates: DataFrame, live: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakescope.functions import pii as detect
-from lakescope.operators import stats
+from lakescope.operators import orphans, stats
 from lakescope.plans import audit, projections, warehouse
 from lakescope.sources import avro, catalogs, metadata, objects
 
@@ -72,6 +72,16 @@ def test_a_list_that_snapshots_share_is_read_once(spark, root):
     assert refs == {f"{root}/a/t0/metadata/v10.metadata.json", f"{root}/a/t0/metadata/snap.avro", f"{root}/a/t0/metadata/m0.avro", "s3://b/0"}
 
 
+def test_references_are_not_broadcast(spark):
+    listing = spark.createDataFrame([("t", "/a", 1, 0), ("t", "/b", 1, 0)], "table_id string, uri string, size_bytes long, updated_at_ms long")
+    live = spark.createDataFrame([("t", "/a")], "table_id string, uri_norm string").cache()
+    live.count()
+    found = orphans.orphans(listing, live, 1 << 40)
+    assert "Broadcast" not in plan(found)
+    assert [r.uri for r in found.collect()] == ["/b"]
+    live.unpersist()
+
+
 def test_schemas_are_decoded_by_code_made_for_them():
     schema = {"type": "record", "name": "r", "fields": [
         {"name": "i", "type": "long"}, {"name": "u", "type": ["null", "string"]}, {"name": "m", "type": {"type": "map", "values": "double"}}, {"name": "a", "type": {"type": "array", "items": ["null", "long"]}},
