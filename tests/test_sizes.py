@@ -141,3 +141,104 @@ def test_a_pattern_is_looked_for_after_what_it_holds(spark):
     for kind, p in detect.PATTERNS.items():
         got = [tuple(r) for r in texts.select(detect.matches(F.col("t"), kind), F.col("t").rlike(p)).collect()]
         assert all(a == b for a, b in got), kind
+
+
+WANTED = ("status", "content", "record_count", "file_size_bytes", "file_path", "partition_key")
+
+
+def plain_columns(path):
+    """Wanted columns of a manifest by the plain decoder, until it turns out to be bad."""
+    out = []
+    try:
+        with open(path, "rb") as f:
+            for r in avro.records(f):
+                if (x := avro.file_row(r)) is not None:
+                    out.append((x[0], x[3], x[7], x[8], x[4], "/".join(f"{k}={'<nil>' if v is None else v}" for k, v in sorted(x[6]))))
+    except (OSError, ValueError, IndexError):
+        pass
+    return out
+
+
+def test_wanted_columns_of_entries_are_those_of_whole_ones(spark, tmp_path):
+    def schema(partition, path="string", status="int", data=None, **more):
+        fields = [{"name": "content", "type": "int"}, {"name": "file_path", "type": path}, *({"name": k, "type": t} for k, t in more.items())]
+        fields += [{"name": "partition", "type": {"type": "record", "name": "p", "fields": [{"name": k, "type": t} for k, t in partition.items()]}}] if partition is not None else []
+        fields += [{"name": "record_count", "type": "long"}, {"name": "file_size_in_bytes", "type": ["null", "long"]}]
+        data = {"type": "record", "name": "d", "fields": fields}
+        return {"type": "record", "name": "e", "fields": [{"name": "status", "type": status}, {"name": "snapshot_id", "type": ["null", "long"]}, {"name": "data_file", "type": data}]}
+
+    def rows(parts, path="s3://b/ü", status=1, **more):
+        return [{"status": status, "snapshot_id": 1 << 40 if i % 2 else None, "data_file": {"content": i % 3, "file_path": path, **more, "partition": p, "record_count": i << 33, "file_size_in_bytes": i * 7 if i % 4 else None}} for i, p in enumerate(parts)]
+
+    skipped = {"sizes": {"type": "map", "values": "long"}, "offsets": {"type": "array", "items": ["null", "long"]}, "raw": "bytes", "x": "double", "sub": {"type": "record", "name": "q", "fields": [{"name": "b", "type": "boolean"}]}}
+    given = {"sizes": {"a": 1 << 50}, "offsets": [None, -7], "raw": b"\0" * 300, "x": 0.5, "sub": {"b": True}}
+    made = {
+        "plain": (schema({"z": ["null", "int"], "a": ["null", "string"]}, **skipped), rows([{"z": i % 5 - 2, "a": None if i % 2 else f"r{i % 3}"} for i in range(300)], **given)),
+        "floats": (schema({"f": "double", "b": "bytes"}), rows([{"f": f, "b": b"\1\2"} for f in (0.0, -0.0, 1.0, 1e22, 2.5)])),
+        "logical": (schema({"d": {"type": "int", "logicalType": "date"}, "t": "boolean"}), rows([{"d": 19_000, "t": i == 1} for i in range(3)])),
+        "no_values": (schema({}), rows([{}] * 3)),
+        "no_partition": (schema(None), rows([{}] * 3)),
+        "nullable_path": (schema({"z": "int"}, path=["null", "string"]), rows([{"z": 1}] * 3, path=None)),
+        "text_status": (schema({"z": "int"}, status="string"), rows([{"z": 1}] * 3, status="x")),
+        "empty": (schema({"z": "int"}), []),
+    }
+    for name, (s, r) in made.items():
+        with open(tmp_path / f"{name}.avro", "wb") as f:
+            avro.write(f, s, r, "null" if name == "plain" else "deflate")
+    body = (tmp_path / "plain.avro").read_bytes()
+    (tmp_path / "cut.avro").write_bytes(body[:-2000])
+    (tmp_path / "ends.avro").write_bytes(body[:-3] + b"xyz")
+    names = [*made, "cut", "ends", "missing"]
+    paths = spark.createDataFrame([(n, f"{tmp_path}/{n}.avro") for n in names], "table_id string, path string")
+    got = avro.entry_columns(paths, WANTED, skip_bad=True).collect()
+    for n in names:
+        assert [tuple(r)[1:] for r in got if r.table_id == n] == plain_columns(f"{tmp_path}/{n}.avro"), n
+    assert len([r for r in got if r.table_id == "ends"]) == 300
+    fast = {n: avro._narrow(json.dumps(s), WANTED) is not None for n, (s, _) in made.items()}
+    assert [n for n, x in fast.items() if not x] == ["nullable_path", "text_status"]
+    some = avro.entry_columns(paths.filter("table_id = 'floats'"), ("partition_key", "content")).collect()
+    assert [(r.partition_key, r.content) for r in some] == [(x[5], x[1]) for x in plain_columns(f"{tmp_path}/floats.avro")]
+    with pytest.raises(Exception, match="ends within|marker|No such file"):
+        avro.entry_columns(paths, ("status",)).count()
+
+
+def test_full_batches_leave_while_a_manifest_is_read(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(avro, "BATCH", 7)
+    out = io.BytesIO()
+    avro.write(out, warehouse.ENTRY, [{"status": 1, "snapshot_id": 1, "sequence_number": None, "data_file": {"content": 0, "file_path": "", "file_format": "", "partition": {"day": i, "region": None}, "record_count": 1, "file_size_in_bytes": i}} for i in range(20)])
+    held = avro._Columns(("file_size_bytes", "partition_key"), pa.schema([("t", pa.string()), ("s", pa.int64()), ("k", pa.string())]))
+    batches = [b for name in ("a", "b") for b in held.take((name,), avro._blocks(io.BytesIO(out.getvalue())))] + [held.batch()]
+    assert [b.num_rows for b in batches] == [7, 7, 7, 7, 7, 5]
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == [(t, i, f"day={i}/region=<nil>") for t in "ab" for i in range(20)]
+
+
+def test_statistics_keep_no_entries_and_read_them_once(spark, root):
+    kept = []
+    docs = audit.tables_of(spark, catalogs.LocalCatalog(root))
+    stat = audit.statistics(docs, 100, kept=kept)
+    assert len(kept) == 2 and all("status" not in f.columns for f in kept)
+    assert "file_path" not in plan(stat)
+    rows = stat.select("table_id", "manifest_count", "data_files", "data_bytes", "partitions", "median", "hot", "sparse", "snapshot_count").collect()
+    assert {tuple(r) for r in rows} == {(f"a.t{t}", 1, 1, 5, 1, 5, 0, 0, 40) for t in range(4)}
+    audit.release(kept)
+
+
+def test_a_scan_adds_up_in_one_pass(spark):
+    files = [(t, i % 7 % 3, i % 5 % 3, None if i % 11 == 0 else (i * 7919 % 1000) ** (2 + i % 2) * (i % 13), None if i % 17 == 0 else "" if i % 19 == 0 else f"k={i * i % 43 % 29}") for t, n in (("a", 500), ("b", 97), ("c", 2), ("d", 1)) for i in range(1, n + 1)]
+    frame = spark.createDataFrame(files, "table_id string, status int, content int, file_size_bytes long, partition_key string")
+    got = {r.table_id: r for r in stats.scan_stats(frame).collect()}
+    whole = {r.table_id: r for r in stats.file_stats(frame).collect()}
+    assert {t: tuple(r[c] for c in stats.TOTALS) for t, r in got.items()} == {t: tuple(r[c] for c in stats.TOTALS) for t, r in whole.items()}
+    for t, r in got.items():
+        sums = {}
+        for _, status, content, size, key in (f for f in files if f[0] == t):
+            if status != 2 and content == 0 and key:
+                sums.setdefault(key, []).append(size)
+        sizes = sorted(sum(x for x in v if x is not None) for v in sums.values() if any(x is not None for x in v))
+        middle = (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) // 2 if sizes else None
+        assert (r.partitions, r.median) == (len(sums), middle), t
+        assert (r.hot, r.sparse) == (sum(x > 2 * middle > 0 for x in sizes) if sizes else 0, sum(middle > 0 and x < middle * 0.1 for x in sizes) if sizes else 0), t
+    parted = frame.withColumn("record_count", F.lit(1))
+    assert "Join" not in plan(stats.skew(stats.partition_stats(parted)))
