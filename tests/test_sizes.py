@@ -242,3 +242,21 @@ def test_a_scan_adds_up_in_one_pass(spark):
         assert (r.hot, r.sparse) == (sum(x > 2 * middle > 0 for x in sizes) if sizes else 0, sum(middle > 0 and x < middle * 0.1 for x in sizes) if sizes else 0), t
     parted = frame.withColumn("record_count", F.lit(1))
     assert "Join" not in plan(stats.skew(stats.partition_stats(parted)))
+
+
+def test_records_are_written_by_code_made_for_their_schema():
+    schema = {"type": "record", "name": "r", "fields": [
+        {"name": "i", "type": "long"}, {"name": "u", "type": ["null", "string"]}, {"name": "w", "type": ["long", "null"]}, {"name": "b", "type": "bytes"}, {"name": "d", "type": "double"}, {"name": "t", "type": "boolean"}, {"name": "n", "type": "null"},
+        {"name": "in", "type": {"type": "record", "name": "q", "fields": [{"name": "day", "type": ["null", "int"]}, {"name": "m", "type": {"type": "map", "values": "long"}}]}}, {"name": "o", "type": ["null", {"type": "record", "name": "s", "fields": [{"name": "x", "type": "int"}]}]},
+    ]}
+    numbers = [0, -1, 63, 64, 1023, 1024, *(s * (1 << k) + j for k in (13, 20, 27, 28, 34, 35, 62) for j in (-1, 0) for s in (1, -1))]
+    rows = [{"i": i, "u": None if i % 3 else f"ü{i}", "w": None if i % 2 else i, "b": b"\0" * (k * 9), "d": i / 3, "t": i % 2 == 0, "n": None, "in": {"day": None if k % 2 else k, "m": {"a": i} if k % 3 else {}}, "o": {"x": k} if k % 4 else None} for k, i in enumerate(numbers)]
+    _, encode = avro._writer(json.dumps(schema), "null")
+    assert encode.__name__ == "encode"
+    assert encode(rows) == b"".join(map(avro.encoder(schema), rows))
+    for codec in ("null", "deflate"):
+        out = io.BytesIO()
+        avro.write(out, schema, rows, codec)
+        assert list(avro.records(io.BytesIO(out.getvalue()))) == rows
+    assert avro._writer(json.dumps(schema["fields"][1]["type"]), "null")[1]([None, "x"]) == b"\0\2\2x"
+    assert avro._writer(json.dumps(["long", "string"]), "null")[1]([3]) == b"\0\6"
