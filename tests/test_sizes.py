@@ -260,3 +260,11 @@ def test_records_are_written_by_code_made_for_their_schema():
         assert list(avro.records(io.BytesIO(out.getvalue()))) == rows
     assert avro._writer(json.dumps(schema["fields"][1]["type"]), "null")[1]([None, "x"]) == b"\0\2\2x"
     assert avro._writer(json.dumps(["long", "string"]), "null")[1]([3]) == b"\0\6"
+
+
+def test_references_and_migration_read_wanted_fields_only(spark, root):
+    catalog = catalogs.LocalCatalog(root)
+    assert "entry_pos" not in plan(audit.references(audit.tables_of(spark, catalog)))
+    found = audit.migration(spark, catalog)
+    assert "entry_pos" not in plan(found)
+    assert {(r.table_id, r.data_file_count, r.total_data_bytes) for r in found.collect()} == {(f"a.t{t}", 1, 5) for t in range(4)}
